@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from siftlake.llm.chat import OP3_SQL, op3_chat_format
 from siftlake.llm.mixing import OP10_SQL, op10_mixing
 
 
 def queries() -> dict:
-    return {"op10_mixing": op10_mixing}
+    return {"op3_chat_format": op3_chat_format, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
-    return {"op10_mixing": OP10_SQL}
+    return {"op3_chat_format": OP3_SQL, "op10_mixing": OP10_SQL}
