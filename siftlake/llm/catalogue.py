@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from siftlake.llm.bpe import op5_byte_bpe
 from siftlake.llm.chat import OP3_SQL, op3_chat_format
 from siftlake.llm.mixing import OP10_SQL, op10_mixing
+from siftlake.llm.token_store import op1_token_store
 
 
 def queries() -> dict:
-    return {"op3_chat_format": op3_chat_format, "op10_mixing": op10_mixing}
+    return {
+        "op1_token_store": op1_token_store,
+        "op3_chat_format": op3_chat_format,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict:
