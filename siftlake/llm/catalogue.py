@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siftlake.llm.bpe import op5_byte_bpe
 from siftlake.llm.chat import OP3_SQL, op3_chat_format
+from siftlake.llm.fingerprints import op7_lz_fingerprint
 from siftlake.llm.mixing import OP10_SQL, op10_mixing
 from siftlake.llm.token_store import op1_token_store
 
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_token_store": op1_token_store,
         "op3_chat_format": op3_chat_format,
         "op5_byte_bpe": op5_byte_bpe,
+        "op7_lz_fingerprint": op7_lz_fingerprint,
         "op10_mixing": op10_mixing,
     }
 
