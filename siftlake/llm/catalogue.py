@@ -6,12 +6,14 @@ from siftlake.llm.bpe import op5_byte_bpe
 from siftlake.llm.chat import OP3_SQL, op3_chat_format
 from siftlake.llm.fingerprints import op7_lz_fingerprint
 from siftlake.llm.mixing import OP10_SQL, op10_mixing
+from siftlake.llm.neighbours import op2_kmeans_tree
 from siftlake.llm.token_store import op1_token_store
 
 
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
+        "op2_kmeans_tree": op2_kmeans_tree,
         "op3_chat_format": op3_chat_format,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_lz_fingerprint": op7_lz_fingerprint,
