@@ -9,6 +9,7 @@ from siftlake.llm.mixing import OP10_SQL, op10_mixing
 from siftlake.llm.neighbours import op2_kmeans_tree
 from siftlake.llm.quality import op6_quality_rules
 from siftlake.llm.token_store import op1_token_store
+from siftlake.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict:
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_quality_rules": op6_quality_rules,
         "op7_lz_fingerprint": op7_lz_fingerprint,
+        "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
     }
 
