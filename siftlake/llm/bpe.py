@@ -231,27 +231,30 @@ def decode_documents(encoded: DataFrame, rank_file: str = RANK_FILE) -> DataFram
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def digest_documents(docs: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of a whole text's ids and of the bytes these decode to."""
+def digest_documents(docs: DataFrame, rank_file: str = RANK_FILE, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of a whole text's ids and of the bytes these decode to.
+
+    with_ids adds the ids (array of int). Null and empty texts have no ids.
+    """
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(public_tokenizers.path(rank_file))
         for batch in batches:
-            counts, ids_sha, decoded_sha = [], [], []
+            counts, ids_sha, decoded_sha, streams = [], [], [], []
             for ids, decimal, decoded in own.encode(texts_of(batch)):
+                if with_ids:
+                    streams.append(np.frombuffer(ids, "<i4"))
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            columns += [pa.array(streams, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from siftlake.llm.mixing import OP10_SQL, op10_mixing
 from siftlake.llm.near_dedup import op4_minhash_dedup
 from siftlake.llm.neighbours import op2_kmeans_tree
 from siftlake.llm.quality import op6_quality_rules
+from siftlake.llm.suffix_dedup import op8_suffix_dedup
 from siftlake.llm.token_store import op1_token_store
 from siftlake.llm.toxicity import op9_toxicity
 
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_quality_rules": op6_quality_rules,
         "op7_lz_fingerprint": op7_lz_fingerprint,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
     }

@@ -59,26 +59,29 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeat: int =
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """docs with size, source_size, target and times: how often the mix takes the document (0 to max_repeat).
+    """docs with __sift_size, __sift_source_size, __sift_target and __sift_times: how often the mix takes the document.
 
-    Every document of a source is taken floor(target / source_size) times, and once more if its hash lies under the
-    source's threshold. Null or blank texts have size 0. Rows that are equal in id and text are taken alike.
-    A document may carry columns of any other name; size, source_size, target and times are replaced.
+    Every document of a source is taken floor(target / source size) times, and once more if its hash lies under the
+    source's threshold, at most max_repeat times in all. Null or blank texts have size 0. Rows that are equal in id
+    and text are taken alike. Other columns stay; names that start with "__sift_" are reserved.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "mixing")
-    keyed = docs.withColumn("size", word_count(F.col("text")))
-    rows = keyed.withColumn("mix_hash", mixing_hash(F.col("doc_id"), F.col("text")))
-    sizes = work.table(rows.select("source", "size", "mix_hash"), "sizes")
-    limits = thresholds(work, sizes, weights, max_repeat)
-    taken = _with_limits(rows.drop("source_size", "target", "times"), limits)
-    extra = (F.col("mix_hash") < F.col("threshold")).cast("int")
-    return taken.withColumn("times", F.col("repeats") + extra).drop("mix_hash", "threshold", "repeats")
+    work = Workspace(docs.sparkSession, "mixing")
+    keyed = docs.withColumn("__sift_size", word_count(F.col("text")))
+    rows = keyed.withColumn("__sift_hash", mixing_hash(F.col("doc_id"), F.col("text")))
+    sizes = rows.select("source", F.col("__sift_size").alias("size"), F.col("__sift_hash").alias("mix_hash"))
+    limits = thresholds(work, work.table(sizes, "sizes"), weights, max_repeat)
+    limits = limits.select([F.col(c).alias(f"__sift_{c}") for c in limits.columns])
+    taken = join_small(rows, limits, rows["source"].eqNullSafe(limits["__sift_source"]))
+    extra = (F.col("__sift_hash") < F.col("__sift_threshold")).cast("int")
+    taken = taken.withColumn("__sift_times", F.col("__sift_repeats") + extra)
+    return taken.drop("__sift_hash", "__sift_threshold", "__sift_repeats", "__sift_source")
 
 
-def _with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    right = limits.withColumnRenamed("source", "limit_source")
-    return join_small(rows, right, rows["source"].eqNullSafe(right["limit_source"])).drop("limit_source")
+def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """docs as the mix takes them: each row as often as its __sift_times says. Columns stay as they are."""
+    taken = mix(docs, weights, max_repeat)
+    repeated = taken.filter("__sift_times > 0").withColumn("__sift_turn", F.explode(F.sequence(F.lit(1), "__sift_times")))
+    return repeated.select(*docs.columns)
 
 
 def thresholds(work: Workspace, sizes: DataFrame, weights: tuple, max_repeat: int) -> DataFrame:
@@ -130,7 +133,10 @@ def _refine(sizes: DataFrame, limits: DataFrame, level: int) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     mixed = mix(read_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+    return mixed.select(
+        "doc_id", F.col("__sift_size").alias("size"), F.col("__sift_source_size").alias("source_size"),
+        F.col("__sift_target").alias("target"), (F.col("__sift_size") * F.col("__sift_times")).cast("long").alias("taken"),
+    )
 
 
 OP10_SQL = r"""

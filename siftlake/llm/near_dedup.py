@@ -303,13 +303,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class of near duplicates (see `near_duplicates`). Columns stay as they are."""
+    """docs with one row of each class of near duplicates (see `near_duplicates`).
+
+    Columns stay as they are; names that start with "__sift_" are reserved.
+    """
     work = Workspace(docs.sparkSession, "near-dedup")
     known = work.table(classes(docs, work).filter("key = least.key").select("key", "least.doc_id"), "kept")
-    right = known.select(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_id"))
-    rows = docs.withColumn("near_key", text_key())
-    rows = rows.join(right, (rows["near_key"] == right["kept_key"]) & rows["doc_id"].eqNullSafe(right["kept_id"]))
-    return rows.dropDuplicates(["doc_id", "near_key"]).select(*docs.columns)
+    right = known.select(F.col("key").alias("__sift_kept"), F.col("doc_id").alias("__sift_id"))
+    rows = docs.withColumn("__sift_key", text_key())
+    rows = rows.join(right, (rows["__sift_key"] == right["__sift_kept"]) & rows["doc_id"].eqNullSafe(right["__sift_id"]))
+    return rows.dropDuplicates(["doc_id", "__sift_key"]).select(*docs.columns)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,7 @@ def _extended_windows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """window, doc_id, row_key, at: hashes and places of the windows of MIN_WORDS words around repeated suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in filter(len, batches):
             lists, hashes, places = batch.column(2).to_pylist(), [], []
             for text, suffixes in zip(texts_of(batch), lists, strict=True):
                 windows = Windows(text)
@@ -253,12 +253,13 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages (see `repeated_spans`) cut from text; n_chars follows where there is one.
 
-    No row is dropped: a text that is nothing but repeated passages becomes empty. Other rows and columns stay.
+    No row is dropped: a text that is nothing but repeated passages becomes empty. Other rows and columns stay; names
+    that start with "__sift_" are reserved.
     """
     spans = repeated_spans(docs)
-    per_row = spans.groupBy(F.col("row_key").alias("span_key")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("cut_here"))
-    rows = docs.withColumn("span_row", _row_key())
-    rows = rows.join(per_row, rows["span_row"] == per_row["span_key"], "left").drop("span_row", "span_key")
+    per_row = spans.groupBy(F.col("row_key").alias("__sift_key")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__sift_cuts"))
+    rows = docs.withColumn("__sift_row", _row_key())
+    rows = rows.join(per_row, rows["__sift_row"] == per_row["__sift_key"], "left").drop("__sift_row", "__sift_key")
     text_at, cut_at = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -322,22 +322,29 @@ def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.1), float(w[1])
 
 
-def score_documents(docs: DataFrame, net: Network, mapping: tuple[float, float]) -> DataFrame:
-    """docs with a column toxicity (0 to 1) of its whole text. A text without words scores as the least toxic."""
+def score_documents(docs: DataFrame, net: Network, mapping: tuple[float, float], column: str = "toxicity") -> DataFrame:
+    """docs with a column (0 to 1) for its whole text. A text without words scores 0; a null text is an empty one."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(net)  # of fixed size
     slope, offset = mapping
-    kept = [c for c in docs.columns if c != "toxicity"]
+    kept = [c for c in docs.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = sigmoid(slope * scorer.logits(texts_of(batch)).astype(np.float64) + offset)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "toxicity"])
+            logits = scorer.logits(texts_of(batch)).astype(np.float64)
+            scores = np.where(np.isfinite(logits), sigmoid(slope * np.where(np.isfinite(logits), logits, 0.0) + offset), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, column])
 
     rows = docs.select(*kept)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(column, T.DoubleType())]))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows whose score is CUT or more. Columns stay; names that start with "__sift_" are reserved."""
+    model = fit_toxicity(docs, labels, Workspace(docs.sparkSession, "toxicity"))
+    return score_documents(docs, *model, column="__sift_toxicity").filter(F.col("__sift_toxicity") < CUT).drop("__sift_toxicity")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
