@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from siftlake.plans import browse_queries, change_queries, search_queries
+
+_MODULES = (search_queries, browse_queries, change_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

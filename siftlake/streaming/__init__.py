@@ -1 +1 @@
-
+"""Structured Streaming forms of ingest, watching and live statistics."""
