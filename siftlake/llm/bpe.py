@@ -90,6 +90,8 @@ class MergeReplay:
         heap: list[int] = []
 
         def post(positions: np.ndarray, ranks: np.ndarray) -> None:
+            if not len(ranks):
+                return
             order = np.argsort(ranks, kind="stable")
             positions, ranks = positions[order], ranks[order]
             starts = np.flatnonzero(np.diff(ranks, prepend=-1))
