@@ -32,8 +32,10 @@ def wrap_words(line: str, width: int = MAX_LINE, split_long: bool = True) -> lis
 
 def _without_comments(text: str) -> str:
     """JSON with comments and trailing commas, as JSON."""
-    token = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/|,(?=\s*[}\]])', re.DOTALL)
-    return token.sub(lambda m: m[0] if m[0].startswith('"') else "", text)
+    for junk in (r"//[^\n]*|/\*.*?\*/", r",(?=\s*[}\]])"):
+        token = re.compile(r'"(?:\\.|[^"\\])*"|' + junk, re.DOTALL)
+        text = token.sub(lambda m: m[0] if m[0].startswith('"') else "", text)
+    return text
 
 
 def pretty(text: str, extension: str) -> str:

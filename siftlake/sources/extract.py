@@ -212,7 +212,8 @@ def docx(data: bytes) -> Extracted:
 
 
 def _numbered(z: zipfile.ZipFile, pattern: str) -> list[str]:
-    return [n for _, n in sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(pattern, n)))]
+    found = [(int(m[1]), m[0]) for m in (re.fullmatch(pattern, n) for n in z.namelist()) if m]
+    return [name for _, name in sorted(found)]
 
 
 def pptx(data: bytes) -> Extracted:
