@@ -41,12 +41,20 @@ class Workspace:
     """A folder of intermediate Parquet tables in the shared storage.
 
     A table that is written and read again cuts the lineage: a lost executor costs the tasks of one step at most.
+    The folder goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         ship_package(spark)
+        files, path = self._files(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -58,8 +66,8 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._files(self.path(name))
+        files.delete(path, True)
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 20_000) -> DataFrame:
