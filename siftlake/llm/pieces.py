@@ -16,6 +16,24 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 PIECE = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 
 
+#: White space other than blanks and line ends.
+_OTHER_SPACE = re.compile("[" + WHITE_SPACE.replace(" ", "").replace("\n", "") + "]")
+
+
+def units(text: str) -> list[str] | None:
+    """The text's words, for texts whose only white space is single blanks and single line ends between words.
+
+    Each word stands for itself with a blank before it, or, if it starts with a line end, for a line end and a word
+    without a blank; the first word starts with a line end that the text does not have. Their pieces follow each other as in
+    the text, since a piece ends before each blank and on both sides of a single line end. None for other texts.
+    """
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return None
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _OTHER_SPACE.search(text):
+        return None
+    return ("\n" + text.replace("\n", " \n")).split(" ")
+
+
 class PieceCache(dict):
     """piece -> value. fill() computes the values of the pieces that a block of texts adds, all in one call."""
 
@@ -30,7 +48,7 @@ class PieceCache(dict):
         if len(self) > self.max_pieces:
             self.clear()
         cut = [PIECE.findall(t) for t in texts]
-        new = list({p for pieces in cut for p in pieces}.difference(self))
+        new = list(set().union(*cut).difference(self))
         if new:
             self.update(zip(new, self.encode(new), strict=True))
         return cut

@@ -1,8 +1,9 @@
 """Token-ID output as a content-addressed store.
 
 Layout of a store folder, all Parquet:
-  chunks/    chunk_id binary, n_ids int, ids binary   one row per distinct chunk; ids are zstd over little-endian
-                                                      unsigned 32-bit integers, chunk_id is BLAKE2b-128 of these
+  chunks/    chunk_id binary, n_ids int, ids binary   one row per distinct chunk; chunk_id is BLAKE2b-128 of its ids as
+                                                      little-endian unsigned 32-bit integers; ids are zstd over
+                                                      16-bit ones where all fit, else over the 32-bit ones
   recipes/   doc_id, start long, n_ids long, chunk_ids array<binary>, root binary
                                                       one row per document, part files and rows in ascending doc_id
                                                       order; root is the Merkle root of its chunk ids
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from siftlake.llm.pieces import PieceCache, blocks, texts_of
+from siftlake.llm.pieces import PIECE, texts_of, units
 from siftlake.storage import Workspace, read_table, ship_package
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -37,27 +39,65 @@ WINDOW = 16
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 64, 9, 4096
 
 
-class LibraryEncoder:
-    """Encodes texts with the tokenizers library; repeated pieces of texts are encoded once and cached."""
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letters: printable Latin-1 bytes stand for themselves, the others for 256, 257, ... in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(others)}
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = PieceCache(self._encode_pieces)
+class LibraryEncoder(dict):
+    """Encodes texts with the tokenizers library. It is a cache of words (see `pieces.units`) to ids.
+
+    A word of letters alone is one word to the tokenizer's pre-tokenizer too, so it goes to the tokenizer's model
+    directly, and one mark after such a word is a word of its own; anything else goes through the pre-tokenizer first.
+    No alignments are made, which nothing here needs. The cache is emptied when it is full, between texts.
+    """
+
+    MARKS = frozenset(".,;:!?")
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        found: list[bytes] = []
-        for i in range(0, len(pieces), 20_000):
-            coded = self.tokenizer.encode_batch_fast(pieces[i : i + 20_000], add_special_tokens=False)
-            found += [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
+    def __init__(self, path: str, most: int = 900_000):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.split, self.model, self.letters = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model, _byte_letters()
+        self.most = most
+        self.blank = chr(self.letters[ord(" ")])
+        self.line_end = self._encode("\n")
+        self.marks = {m: self._encode(m) for m in self.MARKS}
+
+    def _encode(self, text: str) -> bytes:
+        tokenize = self.model.tokenize
+        if text.lstrip(" ").isalpha():
+            if text.isascii():  # ASCII letters stand for themselves
+                letters = self.blank + text[1:] if text[0] == " " else text
+            else:
+                letters = text.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in tokenize(letters)]
+        else:
+            ids = [t.id for word, _ in self.split(text) for t in tokenize(word)]
+        return array("I", ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word.startswith("\n"):
+            found = self.line_end + self._encode(word[1:])
+        elif word[-1:] in self.MARKS and word[:-1].isalpha():
+            found = self[word[:-1]] + self.marks[word[-1]]
+        else:
+            found = self._encode(" " + word)
+        self[word] = found
         return found
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for a, b in blocks([len(t) for t in texts]):
-            for pieces in self.pieces.fill(texts[a:b]):
-                yield np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), "<u4")
+        for text in texts:
+            if len(self) > self.most:
+                self.clear()
+            words = units(text)
+            if words is None:
+                raw = b"".join(self[p[1:]] if p[0] == " " and p[1:].strip() else self._encode(p) for p in PIECE.findall(text))
+            else:
+                raw = b"".join(map(self.__getitem__, words))[len(self.line_end) :]
+            yield np.frombuffer(raw, "<u4")
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -108,6 +148,18 @@ def cut_stream(ids: np.ndarray) -> list[tuple[int, int]]:
     return cuts
 
 
+def pack_ids(ids: np.ndarray, zstd: zstandard.ZstdCompressor) -> bytes:
+    return zstd.compress((ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")).tobytes())
+
+
+def unpack_ids(packed: bytes, n_ids: int, zstd: zstandard.ZstdDecompressor) -> np.ndarray:
+    """The n_ids ids of a chunk; their number tells how wide they were stored."""
+    raw = zstd.decompress(packed)
+    if len(raw) not in (2 * n_ids, 4 * n_ids):
+        raise ValueError("a chunk has not as many ids as its row says")
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n_ids else "<u4").astype("<u4")
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """BLAKE2b-128 Merkle root; leaves and inner nodes are told apart by a prefix. No leaves: hash of nothing."""
     level = [hashlib.blake2b(b"\x00" + x, digest_size=16).digest() for x in leaves] or [hashlib.blake2b(b"", digest_size=16).digest()]
@@ -136,7 +188,7 @@ def _stage(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                     if chunk_id not in seen:
                         if len(seen) < 1_000_000:  # beyond it chunks may be sent twice; the store keeps one of them
                             seen.add(chunk_id)
-                        added.append({"chunk_id": chunk_id, "n_ids": b - a, "ids": pack.compress(raw)})
+                        added.append({"chunk_id": chunk_id, "n_ids": b - a, "ids": pack_ids(ids[a:b], pack)})
                 lengths.append(len(ids))
                 recipes.append(recipe)
                 roots.append(merkle_root(recipe))
@@ -219,8 +271,8 @@ def read_chunks(work: Workspace) -> DataFrame:
         for batch in batches:
             crcs = []
             for chunk_id, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = unpack.decompress(packed)
-                if len(raw) != 4 * n or hashlib.blake2b(raw, digest_size=16).digest() != chunk_id:
+                raw = unpack_ids(packed, n, unpack).tobytes()
+                if hashlib.blake2b(raw, digest_size=16).digest() != chunk_id:
                     raise ValueError(f"chunk {chunk_id.hex()} does not hold what its id says")
                 crcs.append(zlib.crc32(raw))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], names=["chunk_id", "n_ids", "crc32"])
@@ -242,14 +294,14 @@ def read_documents(work: Workspace) -> DataFrame:
         for batch in batches:
             out = []
             for parts in batch.column(2).to_pylist():
-                raw = b"".join(unpack.decompress(p["ids"]) for p in parts if p["ids"] is not None)
-                out.append(np.frombuffer(raw, "<u4").astype(np.int32))
+                held = [unpack_ids(p["ids"], p["n_ids"], unpack) for p in parts if p["ids"] is not None]
+                out.append(np.concatenate([np.zeros(0, "<u4"), *held]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    chunks = work.spark.read.parquet(work.path("chunks")).select("chunk_id", "ids")
+    chunks = work.spark.read.parquet(work.path("chunks")).withColumnRenamed("n_ids", "c_ids")
     items = _recipe_items(work).join(chunks, "chunk_id", "left")
     # `start` is unique: every document holds at least its end id.
-    docs = items.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("ordinal", "ids"))).alias("parts"))
+    docs = items.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col("c_ids").alias("n_ids"), "ids"))).alias("parts"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {id_type}, start long, ids array<int>")
 
@@ -278,14 +330,32 @@ def crc_shift(n_bytes: int) -> int:
     return power
 
 
-def crc_of_parts(parts: list[tuple[int, int]], shifts: dict[int, int]) -> int:
-    """crc32 of a concatenation from the parts' (n_ids, crc32). shifts caches crc_shift by n_ids."""
-    crc = 0
-    for n, part in parts:
+def crc_of_parts(lengths: np.ndarray, crcs: np.ndarray, sizes: np.ndarray, shifts: dict[int, int]) -> np.ndarray:
+    """crc32 of concatenations from their parts' numbers of ids and crc32 values.
+
+    sizes tells how many of the parts belong to each concatenation. All concatenations advance by one part at a
+    time, those with parts left. shifts caches crc_shift by number of ids.
+    """
+    for n in np.unique(lengths).tolist():
         if n not in shifts:
             shifts[n] = crc_shift(4 * n)
-        crc = _crc_times(shifts[n], crc) ^ part
-    return crc
+    factors = np.array([shifts[n] for n in lengths.tolist()], dtype=np.uint32)
+    crcs, starts = crcs.astype(np.uint32), np.cumsum(sizes) - sizes
+    total = np.zeros(len(sizes), np.uint32)
+    for turn in range(int(sizes.max(initial=0))):
+        rows = np.flatnonzero(sizes > turn)
+        at = starts[rows] + turn
+        total[rows] = _crc_products(factors[at], total[rows]) ^ crcs[at]
+    return total
+
+
+def _crc_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_crc_times of pairs."""
+    product = np.zeros_like(a)
+    for bit in range(31, -1, -1):
+        product ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = (b >> np.uint32(1)) ^ np.where(b & np.uint32(1), np.uint32(_POLY), np.uint32(0))
+    return product
 
 
 def read_digests(work: Workspace) -> DataFrame:
@@ -298,16 +368,20 @@ def read_digests(work: Workspace) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shifts: dict[int, int] = {}
-        end = (1, zlib.crc32(END_ID.to_bytes(4, "little")))
-        for batch in batches:
-            counts, crcs = [], []
+        end = zlib.crc32(END_ID.to_bytes(4, "little"))
+        for batch in filter(len, batches):
+            counts, lengths, crcs, sizes = [], [], [], []
             for n, root, parts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 parts = [p for p in parts if p["chunk_id"] is not None]
-                if sum(p["n"] for p in parts) != n or merkle_root([p["chunk_id"] for p in parts]) != root:
+                own = [p["n"] for p in parts]
+                if sum(own) != n or merkle_root([p["chunk_id"] for p in parts]) != root:
                     raise ValueError("a recipe does not match its Merkle root")
                 counts.append(n + 1)
-                crcs.append(crc_of_parts([*((p["n"], p["crc32"]) for p in parts), end], shifts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                lengths += [*own, 1]
+                crcs += [*(p["crc32"] for p in parts), end]
+                sizes.append(len(parts) + 1)
+            found = crc_of_parts(np.array(lengths), np.array(crcs), np.array(sizes), shifts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(found)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     chunks = work.table(read_chunks(work), "read_back").withColumnRenamed("n_ids", "n")
     items = _recipe_items(work).join(chunks, "chunk_id", "left")
