@@ -1,7 +1,7 @@
 """Near-duplicate documents by consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five neighbouring words of the lower-cased text. A shingle weighs its count in the document times an
-inverse document frequency between 1 and 2. Improved consistent weighted sampling draws a signature whose samples
+Shingles are five neighbouring words of the lower-cased text. A shingle weighs its count in the document times a
+damped inverse document frequency. Improved consistent weighted sampling draws a signature whose samples
 agree with the probability of the weighted Jaccard similarity; bands of the signature give buckets; within a bucket
 documents are compared with a representative, and every link is verified by the exact weighted Jaccard similarity.
 
@@ -30,8 +30,11 @@ SIMILARITY = 0.8
 #: 16 bands of 5 samples find a pair of similarity 0.8 with probability 0.998, one of 0.9 with 0.999999.
 BANDS, BAND_ROWS = 16, 5
 DF_BITS, DF_BLOCKS = 22, 256
-#: Rounds of comparing with one representative per bucket before what is left is compared pair by pair.
-STAR_ROUNDS = 3
+#: Rounds of comparing a bucket's members with the most central one that no earlier one is linked to.
+STAR_ROUNDS = 5
+#: Share of the inverse document frequency in a weight. It is small, so that the size of a group of near copies, which
+#: is also the frequency of what they share, does not push its own members apart.
+IDF_SHARE = 0.2
 
 _SAMPLES = BANDS * BAND_ROWS
 _SEED_BITS = 16
@@ -82,9 +85,9 @@ class Weights:
         self.top = np.log(documents + 2.0)
 
     def idf(self, hashes: np.ndarray) -> np.ndarray:
-        """1 + ln((N + 2) / (df + 1)) / ln(N + 2), which lies in [1, 2)."""
+        """1 + IDF_SHARE * ln((N + 2) / (df + 1)) / ln(N + 2), which lies in [1, 1 + IDF_SHARE)."""
         df = self.frequencies[(hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)]
-        return 1.0 + np.maximum(0.0, self.top - np.log(df + 1.0)) * self.scale
+        return 1.0 + IDF_SHARE * np.maximum(0.0, self.top - np.log(df + 1.0)) * self.scale
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         hashes, counts = shingles(text)
@@ -235,29 +238,32 @@ def verify(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, work: Workspace) -> DataFrame:
-    """a, b: verified links between distinct texts, enough of them to give the components of all links in buckets.
+    """a, b: verified links between distinct texts, enough of them for the classes; never all pairs of a bucket.
 
-    A bucket's least open member is compared with all others; members that link to it are settled, since what they
-    link to is settled with them or is compared with them when its own turn comes. After STAR_ROUNDS rounds each
-    member that is still open is compared with every other member of its bucket that has not been compared with it.
+    A bucket's members are compared with its head, the open member whose buckets are largest together: of a group of
+    copies that is one with few changes, to which the others are nearest. Members that link to it are settled; the
+    most central open one is the next head, STAR_ROUNDS times. Each round is linear in the members. Two similar
+    texts share five buckets on average, each with heads of its own; their link is missed only if in all of these
+    neither is a head and the heads do not link to both.
     """
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(count_documents(docs, work))  # 2^DF_BITS numbers
     signed = work.table(candidate_bands(docs, work, weights), "signed")
     members = signed.select(F.col("key").alias("m"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = work.table(members.join(shared, "bucket"), "members")
-    wanted = work.table(members.select("m").distinct(), "wanted")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = work.table(members.join(shared, "bucket"), "shared")
+    central = members.groupBy("m").agg(F.sum("n").alias("centrality"))
+    members = work.table(members.select("m", "bucket").join(central, "m"), "members")
+    work.drop("signed")
+    wanted = members.select(F.col("m").alias("key")).distinct()
     keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    held = join_small(keyed, wanted.withColumnRenamed("m", "key"), "key", "left_semi")
+    held = join_small(keyed, work.table(wanted, "wanted"), "key", "left_semi")
     texts = work.table(held.groupBy("key").agg(F.first("text").alias("text")), "texts")
 
     open_members, tried, links = members, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            heads = open_members.groupBy("bucket").agg(F.min("m").alias("head"))
-        else:
-            heads = open_members.select("bucket", F.col("m").alias("head"))
+    for turn in range(STAR_ROUNDS):
+        heads = open_members.groupBy("bucket").agg(F.max(F.struct("centrality", "m")).alias("top"))
+        heads = work.table(heads.select("bucket", F.col("top.m").alias("head")), f"heads-{turn}")
         asked = members.join(heads, "bucket").filter("m <> head")
         pairs = asked.select(F.greatest("m", "head").alias("a"), F.least("m", "head").alias("b")).distinct()
         if tried is not None:
@@ -266,12 +272,12 @@ def similar_texts(docs: DataFrame, work: Workspace) -> DataFrame:
         found = work.table(verify(pairs, texts, weights), f"found-{turn}")
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
-        if turn == STAR_ROUNDS:
+        if turn == STAR_ROUNDS - 1:
             break
         known = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         headed = open_members.join(heads, "bucket").filter("m <> head")
-        open_members = headed.join(known.select(F.col("a").alias("m"), F.col("b").alias("head")), ["m", "head"], "left_anti").select("m", "bucket")
-        open_members = work.table(open_members, f"open-{turn}")
+        rest = headed.join(known.select(F.col("a").alias("m"), F.col("b").alias("head")), ["m", "head"], "left_anti")
+        open_members = work.table(rest.select("m", "bucket", "centrality"), f"open-{turn}")
         if open_members.isEmpty():
             break
     return links

@@ -119,7 +119,7 @@ def brute_classes(rows):
     for t in texts:
         hashes, counts = near_dedup.shingles(t)
         df = np.array([frequencies[h] for h in hashes.tolist()])
-        sets.append((hashes, counts * (1 + np.maximum(0, np.log((n + 2) / (df + 1))) / np.log(n + 2))))
+        sets.append((hashes, counts * (1 + near_dedup.IDF_SHARE * np.maximum(0, np.log((n + 2) / (df + 1))) / np.log(n + 2))))
     root = {t: t for t in texts}
 
     def find(t):
@@ -319,7 +319,8 @@ def labelled(n=600):
     plain = [f"word{i}" for i in range(150)]
     rows, labels = [], []
     for i in range(n):
-        text = rng.choice(plain, rng.integers(20, 90)).tolist()
+        # Some words are new in every document, as in any real corpus.
+        text = ["".join(rng.choice(list("abcdefghnrstuwx0123"), 6)) if rng.random() < 0.3 else w for w in rng.choice(plain, rng.integers(20, 90)).tolist()]
         toxic, junk = bool(rng.random() < 0.25), bool(rng.random() < 0.2)
         if toxic:
             for _ in range(3):
