@@ -3,7 +3,8 @@
 Shingles are five neighbouring words of the lower-cased text. A shingle weighs its count in the document times a
 damped inverse document frequency. Improved consistent weighted sampling draws a signature whose samples
 agree with the probability of the weighted Jaccard similarity; bands of the signature give buckets; within a bucket
-documents are compared with a representative, and every link is verified by the exact weighted Jaccard similarity.
+documents are compared with a representative, and those that this leaves in different components meet again where an
+exact prefix filter allows their similarity. Every link is verified by the exact weighted Jaccard similarity.
 
 Document frequencies are counted over all documents in a hashed table of fixed size (a collision can only raise a
 frequency). Texts that are equal are one node; copies never meet pairwise.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import connected_components
-from siftlake.llm.pieces import texts_of
+from siftlake.llm.pieces import blocks, texts_of
 from siftlake.storage import Workspace, join_small, read_table
 
 SHINGLE_WORDS = 5
@@ -30,8 +31,8 @@ SIMILARITY = 0.8
 #: 16 bands of 5 samples find a pair of similarity 0.8 with probability 0.998, one of 0.9 with 0.999999.
 BANDS, BAND_ROWS = 16, 5
 DF_BITS, DF_BLOCKS = 22, 256
-#: Rounds of comparing a bucket's members with the most central one that no earlier one is linked to.
-STAR_ROUNDS = 5
+#: Relative slack of the bounds in `prefixes` and `open_pairs`, for sums in another order.
+_SLACK = 1e-6
 #: Share of the inverse document frequency in a weight. It is small, so that the size of a group of near copies, which
 #: is also the frequency of what they share, does not push its own members apart.
 IDF_SHARE = 0.2
@@ -86,8 +87,10 @@ class Weights:
 
     def idf(self, hashes: np.ndarray) -> np.ndarray:
         """1 + IDF_SHARE * ln((N + 2) / (df + 1)) / ln(N + 2), which lies in [1, 1 + IDF_SHARE)."""
-        df = self.frequencies[(hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)]
-        return 1.0 + IDF_SHARE * np.maximum(0.0, self.top - np.log(df + 1.0)) * self.scale
+        return 1.0 + IDF_SHARE * np.maximum(0.0, self.top - np.log(self.df(hashes) + 1.0)) * self.scale
+
+    def df(self, hashes: np.ndarray) -> np.ndarray:
+        return self.frequencies[(hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)]
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         hashes, counts = shingles(text)
@@ -237,14 +240,65 @@ def verify(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, f"a {key}, b {key}")
 
 
+def prefixes(members: DataFrame, weights) -> DataFrame:
+    """m, root, token, total, rest: for members (m, root, text), the shingles that two similar texts can share first.
+
+    All texts order their shingles alike, rare ones first. rest is the weight from a shingle to the end, total that of
+    all. Of texts of similarity s, total weights A and B and common weight C, C is at least s * max(A, B), and the
+    first common shingle has at least C after it in both: one with a rest below SIMILARITY * total is never that. A
+    shingle of one document is in no other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tfidf = weights.value
+        for batch in batches:
+            texts = texts_of(batch)
+            for start, end in blocks([len(t) for t in texts]):
+                rows, tokens, totals, rests = [], [], [], []
+                for i in range(start, end):
+                    hashes, w = tfidf.of(texts[i])
+                    df = tfidf.df(hashes)
+                    order = np.lexsort((hashes, df))
+                    rest = np.cumsum(w[order][::-1])[::-1]
+                    kept = (rest >= SIMILARITY * (1 - _SLACK) * rest[0]) & (df[order] > 1)
+                    rows.append(np.full(kept.sum(), i))
+                    tokens.append(hashes[order][kept].astype(np.int64))
+                    totals.append(np.full(kept.sum(), rest[0]))
+                    rests.append(rest[kept])
+                at = pa.array(np.concatenate(rows))
+                columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in (tokens, totals, rests))]
+                yield pa.RecordBatch.from_arrays(columns, names=["m", "root", "token", "total", "rest"])
+
+    key = "struct<k1: bigint, k2: bigint>"
+    return members.select("m", "root", "text").mapInArrow(run, f"m {key}, root {key}, token long, total double, rest double")
+
+
+def open_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, weights, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Links that give the components of links (node, root), and pairs (a, b) that can join two of them.
+
+    Members of buckets that hold several components are asked, whatever their heads were; a pair's components differ,
+    it shares a shingle of both prefixes, and its weights after that shingle leave a similarity of SIMILARITY possible.
+    No pair of a bucket with that similarity and different components is missing.
+    """
+    roots = work.table(connected_components(links, work, "star"), "roots")
+    rooted = members.select("m", "bucket").join(roots.withColumnRenamed("node", "m"), "m", "left").withColumn("root", F.coalesce("root", "m"))
+    rooted = work.table(rooted, "bucket-roots")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    asked = work.table(rooted.join(mixed, "bucket", "left_semi").select("m", "root").distinct(), "asked")
+    found = work.table(prefixes(asked.join(texts.withColumnRenamed("key", "m"), "m"), weights), "prefixes")
+    left, right = (found.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("m", "root", "total", "rest"))) for side in "ab")
+    enough = F.least("a_rest", "b_rest") * (1 + SIMILARITY) >= SIMILARITY * (1 - _SLACK) * (F.col("a_total") + F.col("b_total"))
+    meet = left.join(right, (left["token"] == right["token"]) & (F.col("a_root") < F.col("b_root")) & enough)
+    pairs = meet.select(F.greatest("a_m", "b_m").alias("a"), F.least("a_m", "b_m").alias("b")).distinct()
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b"), pairs
+
+
 def similar_texts(docs: DataFrame, work: Workspace) -> DataFrame:
-    """a, b: verified links between distinct texts, enough of them for the classes; never all pairs of a bucket.
+    """a, b: links between distinct texts, enough of them to give the components of all links in buckets.
 
-    A bucket's members are compared with its head, the open member whose buckets are largest together: of a group of
-    copies that is one with few changes, to which the others are nearest. Members that link to it are settled; the
-    most central open one is the next head, STAR_ROUNDS times. Each round is linear in the members. Two similar
-    texts share five buckets on average, each with heads of its own; their link is missed only if in all of these
-    neither is a head and the heads do not link to both.
+    A bucket's members are compared with its head, the member whose buckets are largest together: of a group of copies
+    that is one with few changes, to which the others are nearest. Other pairs are compared only where they can join
+    two components of these links (see `open_pairs`).
     """
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(count_documents(docs, work))  # 2^DF_BITS numbers
@@ -260,27 +314,13 @@ def similar_texts(docs: DataFrame, work: Workspace) -> DataFrame:
     held = join_small(keyed, work.table(wanted, "wanted"), "key", "left_semi")
     texts = work.table(held.groupBy("key").agg(F.first("text").alias("text")), "texts")
 
-    open_members, tried, links = members, None, None
-    for turn in range(STAR_ROUNDS):
-        heads = open_members.groupBy("bucket").agg(F.max(F.struct("centrality", "m")).alias("top"))
-        heads = work.table(heads.select("bucket", F.col("top.m").alias("head")), f"heads-{turn}")
-        asked = members.join(heads, "bucket").filter("m <> head")
-        pairs = asked.select(F.greatest("m", "head").alias("a"), F.least("m", "head").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = work.table(pairs, f"pairs-{turn}")
-        found = work.table(verify(pairs, texts, weights), f"found-{turn}")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        if turn == STAR_ROUNDS - 1:
-            break
-        known = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        headed = open_members.join(heads, "bucket").filter("m <> head")
-        rest = headed.join(known.select(F.col("a").alias("m"), F.col("b").alias("head")), ["m", "head"], "left_anti")
-        open_members = work.table(rest.select("m", "bucket", "centrality"), f"open-{turn}")
-        if open_members.isEmpty():
-            break
-    return links
+    heads = members.groupBy("bucket").agg(F.max(F.struct("centrality", "m")).alias("top")).select("bucket", F.col("top.m").alias("head"))
+    asked = members.join(heads, "bucket").filter("m <> head")
+    tried = work.table(asked.select(F.greatest("m", "head").alias("a"), F.least("m", "head").alias("b")).distinct(), "pairs")
+    links = work.table(verify(tried, texts, weights), "found")
+    joined, pairs = open_pairs(members, links, texts, weights, work)
+    pairs = work.table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-open")
+    return joined.union(work.table(verify(pairs, texts, weights), "found-open"))
 
 
 def classes(docs: DataFrame, work: Workspace) -> DataFrame:

@@ -160,6 +160,28 @@ def test_near_duplicates(make_docs, odd_rows):
     assert len(classes) == len({c for _, c in found}) and all(r.kept for r in classes)
 
 
+def test_near_duplicates_of_many_clusters_in_a_bucket(make_docs, monkeypatch):
+    """All texts in one bucket: clusters with no link to its heads, chains, and links between members of different heads."""
+    rng, rows = np.random.default_rng(6), []
+    for i in range(25):
+        base = words(f"c{i}", 150).split()
+        rows += [(len(rows) + k, " ".join([*base[:140], f"end{i}x{k}"]), "en", "s", 1) for k in range(3)]
+    base = words("g", 150).split()
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.choice(150, rng.integers(0, 7), replace=False):
+            copy[at] = f"new{rng.integers(0, 10**6)}"
+        rows.append((len(rows), " ".join(copy), "en", "s", 1))
+    for i in range(12):  # each is similar to the next one only
+        rows.append((len(rows), words("chain", 400).split(" ", 20 * i)[-1].rsplit(" ", 20 * (12 - i))[0], "en", "s", 1))
+    one_bucket = lambda docs, work, weights: docs.select(near_dedup.text_key().alias("key"), F.array(F.lit(1).cast("long")).alias("bands")).distinct()
+    monkeypatch.setattr(near_dedup, "candidate_bands", one_bucket)
+    want = brute_classes([(r[0], r[1]) for r in rows])
+    got = near_dedup.near_duplicates(make_docs(rows)).collect()
+    assert len({c for _, c in want}) < len(rows) - 50
+    assert Counter((r.doc_id, r.class_id) for r in got) == want
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng, sampler = np.random.default_rng(4), near_dedup.Sampler()
     hashes = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
