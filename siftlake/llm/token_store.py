@@ -51,7 +51,8 @@ class LibraryEncoder(dict):
 
     A word of letters alone is one word to the tokenizer's pre-tokenizer too, so it goes to the tokenizer's model
     directly, and one mark after such a word is a word of its own; anything else goes through the pre-tokenizer first.
-    No alignments are made, which nothing here needs. The cache is emptied when it is full, between texts.
+    No alignments are made, which nothing here needs. The cache is emptied when it is full, between texts. A text that
+    holds an added token of the tokenizer goes to its encode() whole.
     """
 
     MARKS = frozenset(".,;:!?")
@@ -59,7 +60,8 @@ class LibraryEncoder(dict):
     def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.split, self.model, self.letters = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model, _byte_letters()
         self.most = most
         self.blank = chr(self.letters[ord(" ")])
@@ -92,6 +94,9 @@ class LibraryEncoder(dict):
         for text in texts:
             if len(self) > self.most:
                 self.clear()
+            if any(token in text for token in self.added):
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                continue
             words = units(text)
             if words is None:
                 raw = b"".join(self[p[1:]] if p[0] == " " and p[1:].strip() else self._encode(p) for p in PIECE.findall(text))

@@ -46,6 +46,13 @@ def test_library_encoder_equals_the_tokenizer():
     assert [g.tolist() for g in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_library_encoder_recognises_added_tokens():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "one <|endoftext| two", "<|ENDOFTEXT|>", "plain text"]
+    got = token_store.library_encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(1)
     body = rng.integers(0, 50_000, 5000).astype("<u4")
