@@ -27,8 +27,6 @@ WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 15
 GRAMS = (3, 4, 5)
 WORD_DIM, GRAM_DIM, HIDDEN = 3, 3, 8
 WINDOW, STRIDE = 64, 32
-#: The network is trained on whole documents of at most so many words, at most so many of each label.
-TRAIN_WORDS, TRAIN_DOCS = 160, 1500
 EPOCHS, BATCH = 6, 64
 CUT = 0.5
 
@@ -149,7 +147,7 @@ class Network:
 
 
 def train(net: Network, docs: list[list[str]], labels: np.ndarray, seed: int = 3) -> None:
-    """Adam over batches of whole documents of similar length; a word's own embedding is dropped at times, so that
+    """Adam over batches of windows of similar length; a word's own embedding is dropped at times, so that
     its characters have to carry the decision too."""
     rng, cache = np.random.default_rng(seed), Inputs()
     usable = [i for i, d in enumerate(docs) if d]
@@ -277,22 +275,43 @@ def _count_buckets(rows: DataFrame, work: Workspace) -> tuple[np.ndarray, np.nda
     return odds[1 : 1 + WORD_BUCKETS], odds[1 + WORD_BUCKETS :]
 
 
+def highest_windows(rows: DataFrame, net: Network, most: int) -> tuple[list[list[str]], np.ndarray]:
+    """Words of one window of every row (text, label), of `most` rows at most, and the labels: a text's window whose words' starting log-odds
+    have the largest sum of exponentials, the one that most likely decides its label. A shorter text is one window.
+
+    Only these words come to the driver.
+    """
+    odds = rows.sparkSession.sparkContext.broadcast(np.exp(net.p["words"][:, 0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, cache = odds.value, Inputs()
+        for batch in batches:
+            found = []
+            for text in texts_of(batch):
+                words = words_of(text)
+                sums = np.concatenate([[0.0], np.cumsum(weight[[cache[w][0] for w in words]])]) if len(words) > WINDOW else np.zeros(WINDOW + 1)
+                start = int(np.argmax(sums[WINDOW:] - sums[:-WINDOW]))
+                found.append(" ".join(words[start : start + WINDOW]))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(1)], names=["words", "label"])
+
+    told = rows.select("text", "label").mapInArrow(run, "words string, label int").orderBy(F.xxhash64("words"), "words", "label").limit(most).toArrow()
+    seen: dict[str, str] = {}  # one object of each word
+    windows = [[seen.setdefault(w, w) for w in t.as_py().split()] for t in told.column("words")]
+    return windows, told.column("label").to_numpy().astype(np.float64)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, work: Workspace, label: str = "toxic", most: int = MAX_LABELLED):
     """The network and the slope and offset that map a document's highest logit to a probability.
 
-    At most `most` labelled training rows count: all of them set the embeddings' start and the final mapping, the
-    short ones (TRAIN_WORDS, TRAIN_DOCS) train the network.
+    At most `most` labelled training ids count. Their rows, of any length, set the embeddings' start, train the network
+    with one window each, and set the final mapping; the latter two take `most` rows if ids repeat in docs.
     """
     chosen = with_labels(docs.select("doc_id", "text"), training_labels(labels, label, most))
     chosen = work.table(chosen.select(F.coalesce("text", F.lit("")).alias("text"), F.greatest(F.lit(0), F.least(F.lit(1), "label")).alias("label")), "labelled")
     net = Network(*_count_buckets(chosen, work))
-    short = chosen.filter(F.regexp_count("text", F.lit(r"\S+")) <= TRAIN_WORDS)
-    picked = [short.filter(F.col("label") == v).orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS) for v in (0, 1)]
-    rows = picked[0].union(picked[1]).toArrow()
-    texts = [words_of(t) for t in rows.column("text").to_pylist()]
-    y = rows.column("label").to_numpy().astype(np.float64)
+    windows, y = highest_windows(chosen, net, most)
     if len(y):
-        train(net, texts, y)
+        train(net, windows, y)
     shared = work.spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

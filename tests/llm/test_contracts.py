@@ -384,6 +384,25 @@ def test_toxicity(make_docs, odd_rows, spark):
     assert kept.columns == docs.columns and all(r.toxicity == "x" for r in kept.collect())
 
 
+def test_toxicity_learns_from_long_documents(make_docs, spark):
+    """All labelled documents have hundreds of words: the network is trained on windows of each."""
+    rng = np.random.default_rng(12)
+    rows, labels = labelled()
+    filler = [f"filler{i}" for i in range(200)]
+    long = []
+    for r in rows:
+        before, after = (" ".join(rng.choice(filler, 150).tolist()) for _ in range(2))
+        long.append((r[0], f"{before} {r[1]} {after}", *r[2:]))
+    docs, table = make_docs(long), spark.createDataFrame(labels, LABELS)
+    net, mapping = toxicity.fit_toxicity(docs, table, toxicity.Workspace(spark, "toxicity"))
+    start = toxicity.Network(np.zeros(toxicity.WORD_BUCKETS), np.zeros(toxicity.GRAM_BUCKETS))
+    assert all(np.abs(net.p[k] - start.p[k]).max() > 1e-3 for k in ("pool", "out", "wf", "uf", "wb", "ub"))
+    truth = {x[0]: x[2] for x in labels}
+    got = toxicity.score_documents(docs.select("doc_id", "text"), net, mapping).collect()
+    held = [(r.toxicity >= 0.5, bool(truth[r.doc_id])) for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(np.zeros(toxicity.WORD_BUCKETS), np.zeros(toxicity.GRAM_BUCKETS))
