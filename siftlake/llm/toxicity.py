@@ -10,7 +10,6 @@ whole text, mapped to a probability by a logistic fit on labelled training docum
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,22 +36,51 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def word_inputs(word: str) -> tuple[int, list[int]]:
-    """Bucket of the word, and buckets of its character n-grams (with marks for its ends). Bucket 0 is for padding."""
-    marked = f"^{word}$"
-    grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} or {marked}
-    hashes = sorted(zlib.crc32(g.encode()) % (GRAM_BUCKETS - 1) + 1 for g in grams)
-    return zlib.crc32(marked.encode()) % (WORD_BUCKETS - 1) + 1, hashes
-
-
-class Inputs(dict):
-    """Cache of word_inputs."""
-
-    def __missing__(self, word: str):
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found = word_inputs(word)
-        return found
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _buckets(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Buckets 1 to size - 1 of 64-bit hashes. Bucket 0 is for padding."""
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((hashes >> np.uint64(32)) % np.uint64(size - 1)).astype(np.int32) + 1
+
+
+class Inputs:
+    """Input buckets of words: that of the word itself, and those of its character n-grams, with marks for its ends."""
+
+    def __init__(self, words: list[str]):
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        chars = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        mixed = (chars + np.uint64(1)) * np.uint64(_FACTOR)
+        mixed ^= mixed >> np.uint64(29)
+        ends = np.cumsum(lengths)
+        starts, word_of, at = ends - lengths, np.repeat(np.arange(len(words)), lengths), np.arange(len(chars))
+        room = ends[word_of] - at
+        powers = np.full(int(lengths.max(initial=1)), _FACTOR, np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        whole = np.add.reduceat(mixed * powers[at - starts[word_of]], starts) if len(words) else np.zeros(0, np.uint64)
+        self.words = _buckets(whole, WORD_BUCKETS)
+        owners, grams = [], []
+        for n in GRAMS:
+            rolled = np.zeros(max(0, len(mixed) - n + 1), np.uint64)
+            for k in range(n):
+                rolled = rolled * np.uint64(_FACTOR) + mixed[k : k + len(rolled)]
+            inside = np.flatnonzero(room[: len(rolled)] >= n)
+            owners.append(word_of[inside])
+            grams.append(_buckets(rolled[inside] + np.uint64(n), GRAM_BUCKETS))
+        owner = np.concatenate(owners)
+        self.grams = np.concatenate(grams)[np.argsort(owner, kind="stable")]
+        self.sizes = np.bincount(owner, minlength=len(words))
+        self.ends = np.cumsum(self.sizes)
+
+    def take(self, rows: np.ndarray) -> Inputs:
+        """The inputs of some of the words."""
+        out = object.__new__(Inputs)
+        out.words, out.sizes = self.words[rows], self.sizes[rows]
+        out.ends = np.cumsum(out.sizes)
+        out.grams = self.grams[np.repeat((self.ends - self.sizes)[rows] - (out.ends - out.sizes), out.sizes) + np.arange(out.sizes.sum())]
+        return out
 
 
 class Network:
@@ -72,18 +100,20 @@ class Network:
         for side in "fb":
             self.p |= {f"w{side}": small(d, 3 * HIDDEN), f"u{side}": small(HIDDEN, 3 * HIDDEN), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def vectors(self, inputs: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Input vectors of words, their word buckets, and for each gram dimension the bucket that gave the maximum."""
-        words = np.array([w for w, _ in inputs], dtype=np.int64)
-        sizes = np.array([len(g) for _, g in inputs])
-        flat = np.array([g for _, gs in inputs for g in gs], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    def vectors(self, inputs: Inputs) -> tuple[np.ndarray, tuple]:
+        """Input vectors of words (at least one), and what `winners` needs."""
+        flat, sizes = inputs.grams, inputs.sizes
+        starts = inputs.ends - sizes
         values = self.p["grams"][flat]
         top = np.maximum.reduceat(values, starts, axis=0)
-        is_top = values == np.repeat(top, sizes, axis=0)
-        at = np.where(is_top, np.arange(len(flat))[:, None], len(flat))
-        winner = flat[np.minimum.reduceat(at, starts, axis=0)]
-        return np.hstack([self.p["words"][words], top]), words, winner
+        return np.hstack([self.p["words"][inputs.words], top]), (values, top, flat, sizes, starts)
+
+    @staticmethod
+    def winners(found) -> np.ndarray:
+        """Of what `vectors` tells: the bucket of each word and gram dimension that gave the maximum."""
+        values, top, flat, sizes, starts = found
+        at = np.where(values == np.repeat(top, sizes, axis=0), np.arange(len(flat))[:, None], len(flat))
+        return flat[np.minimum.reduceat(at, starts, axis=0)]
 
     def _layer(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool):
         """States of one direction: x is time, batch, 3 * HIDDEN (input projections)."""
@@ -149,26 +179,31 @@ class Network:
 def train(net: Network, docs: list[list[str]], labels: np.ndarray, seed: int = 3) -> None:
     """Adam over batches of windows of similar length; a word's own embedding is dropped at times, so that
     its characters have to carry the decision too."""
-    rng, cache = np.random.default_rng(seed), Inputs()
+    rng = np.random.default_rng(seed)
     usable = [i for i, d in enumerate(docs) if d]
     if not usable or labels.min() == labels.max():
         return
     usable.sort(key=lambda i: (len(docs[i]), i))
+    place = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
+    inputs = Inputs(list(place))
+    rows_of = [np.fromiter(map(place.__getitem__, d), np.int64, len(d)) for d in docs]
     share = labels[usable].mean()
     weight_of = np.where(labels > 0, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
-    first = {k: np.zeros_like(v) for k, v in net.p.items()}
-    second = {k: np.zeros_like(v) for k, v in net.p.items()}
+    first = {k: np.zeros_like(v) for k, v in net.p.items() if k not in ("words", "grams")}
+    second = {k: np.zeros_like(v) for k, v in first.items()}
     step = 0
     batches = [usable[i : i + BATCH] for i in range(0, len(usable), BATCH)]
     for _ in range(EPOCHS):
         for b in rng.permutation(len(batches)):
             rows = batches[b]
             steps = max(len(docs[i]) for i in rows)
-            distinct = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for i in rows for w in docs[i]))}
-            table, word_at, gram_at = net.vectors([(0, [0]), *[cache[w] for w in distinct]])
+            distinct = np.unique(np.concatenate([rows_of[i] for i in rows]))
+            own = inputs.take(distinct)
+            found, told = net.vectors(own)
+            table = np.vstack([np.zeros((1, found.shape[1]), np.float32), found])
             at = np.zeros((steps, len(rows)), dtype=np.int64)
             for j, i in enumerate(rows):
-                at[: len(docs[i]), j] = [distinct[w] for w in docs[i]]
+                at[: len(docs[i]), j] = np.searchsorted(distinct, rows_of[i]) + 1
             mask = (at > 0).astype(np.float32)[:, :, None]
             x = table[at]
             seen = (rng.random(at.shape) > 0.3)[:, :, None].astype(np.float32)
@@ -184,9 +219,10 @@ def train(net: Network, docs: list[list[str]], labels: np.ndarray, seed: int = 3
                 second[k] += 0.01 * (g * g - second[k])
                 net.p[k] -= (scale * first[k] / (np.sqrt(second[k]) + 1e-6)).astype(np.float32)
             # Embeddings take plain gradient steps, on the rows that were used.
-            np.subtract.at(net.p["words"], word_at[1:], 0.5 * d_table[1:, :WORD_DIM])
+            np.subtract.at(net.p["words"], own.words, 0.5 * d_table[1:, :WORD_DIM])
+            top = net.winners(told)
             for k in range(GRAM_DIM):
-                np.subtract.at(net.p["grams"][:, k], gram_at[1:, k], 0.5 * d_table[1:, WORD_DIM + k])
+                np.subtract.at(net.p["grams"][:, k], top[:, k], 0.5 * d_table[1:, WORD_DIM + k])
 
 
 class Scorer:
@@ -207,7 +243,7 @@ class Scorer:
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            x = self.net.vectors([word_inputs(w) for w in part])[0]
+            x = self.net.vectors(Inputs(part))[0]
             both = [x @ self.net.p[f"w{s}"] + self.net.p[f"c{s}"] for s in "fb"]
             self.rows[start + i : start + i + len(part)] = np.hstack(both)
         self.at.update(zip(new, range(start, start + len(new)), strict=True))
@@ -246,19 +282,22 @@ class Scorer:
         np.maximum.at(found, owner, np.where(mask.any(axis=0)[:, 0], logit, -np.inf))
 
 
-def _count_buckets(rows: DataFrame, work: Workspace) -> tuple[np.ndarray, np.ndarray]:
+def _count_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of label 1 by word bucket and by gram bucket, from document counts over rows (text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = Inputs(), np.zeros((2, 1 + WORD_BUCKETS + GRAM_BUCKETS), np.int64)
+        total = np.zeros((2, 1 + WORD_BUCKETS + GRAM_BUCKETS), np.int64)
         for batch in batches:
-            for text, label in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
-                seen = [cache[w] for w in set(words_of(text))]
-                words = np.unique(np.array([w for w, _ in seen], dtype=np.int64))
-                grams = np.unique(np.array([g for _, gs in seen for g in gs], dtype=np.int64))
-                total[label, 0] += 1
-                total[label, 1 + words] += 1
-                total[label, 1 + WORD_BUCKETS + grams] += 1
+            texts, labels = texts_of(batch), batch.column(1).to_pylist()
+            for a, b in blocks([len(t) for t in texts], 2_000_000):
+                cut = [set(words_of(t)) for t in texts[a:b]]
+                place = {w: k for k, w in enumerate(set().union(*cut))}
+                inputs = Inputs(list(place))
+                for words, label in zip(cut, labels[a:b], strict=True):
+                    own = inputs.take(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+                    total[label, 0] += 1
+                    total[label, 1 + np.unique(own.words)] += 1
+                    total[label, 1 + WORD_BUCKETS + np.unique(own.grams)] += 1
         label, slot = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(label, pa.int32()), pa.array(slot, pa.int32()), pa.array(total[label, slot], pa.int64())], names=["label", "slot", "n"]
@@ -275,41 +314,52 @@ def _count_buckets(rows: DataFrame, work: Workspace) -> tuple[np.ndarray, np.nda
     return odds[1 : 1 + WORD_BUCKETS], odds[1 + WORD_BUCKETS :]
 
 
-def highest_windows(rows: DataFrame, net: Network, most: int) -> tuple[list[list[str]], np.ndarray]:
-    """Words of one window of every row (text, label), of `most` rows at most, and the labels: a text's window whose words' starting log-odds
+def highest_windows(rows: DataFrame, net: Network) -> tuple[list[list[str]], np.ndarray]:
+    """Words of one window of every row (text, label), and the labels: a text's window whose words' starting log-odds
     have the largest sum of exponentials, the one that most likely decides its label. A shorter text is one window.
 
-    Only these words come to the driver.
+    Only these words come to the driver; rows are bounded by `labelled_texts`.
     """
     odds = rows.sparkSession.sparkContext.broadcast(np.exp(net.p["words"][:, 0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, cache = odds.value, Inputs()
+        weight = odds.value
         for batch in batches:
-            found = []
-            for text in texts_of(batch):
-                words = words_of(text)
-                sums = np.concatenate([[0.0], np.cumsum(weight[[cache[w][0] for w in words]])]) if len(words) > WINDOW else np.zeros(WINDOW + 1)
-                start = int(np.argmax(sums[WINDOW:] - sums[:-WINDOW]))
-                found.append(" ".join(words[start : start + WINDOW]))
+            texts, found = texts_of(batch), []
+            for a, b in blocks([len(t) for t in texts], 2_000_000):
+                cut = [words_of(t) for t in texts[a:b]]
+                place = {w: k for k, w in enumerate({w for ws in cut for w in ws})}
+                heavy = weight[Inputs(list(place)).words]
+                for words in cut:
+                    own = heavy[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].astype(np.float64)
+                    sums = np.concatenate([[0.0], np.cumsum(own)]) if len(words) > WINDOW else np.zeros(WINDOW + 1)
+                    start = int(np.argmax(sums[WINDOW:] - sums[:-WINDOW]))
+                    found.append(" ".join(words[start : start + WINDOW]))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(1)], names=["words", "label"])
 
-    told = rows.select("text", "label").mapInArrow(run, "words string, label int").orderBy(F.xxhash64("words"), "words", "label").limit(most).toArrow()
+    told = rows.select("text", "label").mapInArrow(run, "words string, label int").orderBy(F.xxhash64("words"), "words", "label").toArrow()
     seen: dict[str, str] = {}  # one object of each word
     windows = [[seen.setdefault(w, w) for w in t.as_py().split()] for t in told.column("words")]
     return windows, told.column("label").to_numpy().astype(np.float64)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED) -> DataFrame:
+    """text, label (0 or 1) of at most `most` labelled training ids. Of rows with one id, that whose text's hash is least counts."""
+    chosen = with_labels(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), training_labels(labels, label, most))
+    one = chosen.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return one.select("row.text", F.greatest(F.lit(0), F.least(F.lit(1), "label")).alias("label"))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, work: Workspace, label: str = "toxic", most: int = MAX_LABELLED):
     """The network and the slope and offset that map a document's highest logit to a probability.
 
-    At most `most` labelled training ids count. Their rows, of any length, set the embeddings' start, train the network
-    with one window each, and set the final mapping; the latter two take `most` rows if ids repeat in docs.
+    At most `most` labelled training ids count. Their texts, of any length, set the embeddings' start, train the
+    network with one window each, and set the final mapping. Without labelled rows of both classes the network keeps
+    its start. Null and empty texts have no window.
     """
-    chosen = with_labels(docs.select("doc_id", "text"), training_labels(labels, label, most))
-    chosen = work.table(chosen.select(F.coalesce("text", F.lit("")).alias("text"), F.greatest(F.lit(0), F.least(F.lit(1), "label")).alias("label")), "labelled")
-    net = Network(*_count_buckets(chosen, work))
-    windows, y = highest_windows(chosen, net, most)
+    chosen = work.table(labelled_texts(docs, labels, label, most), "labelled")
+    net = Network(*_count_buckets(chosen))
+    windows, y = highest_windows(chosen, net)
     if len(y):
         train(net, windows, y)
     shared = work.spark.sparkContext.broadcast(net)
@@ -320,7 +370,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, work: Workspace, label: str
             logits = scorer.logits(texts_of(batch)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(logits), batch.column(1)], names=["logit", "label"])
 
-    told = chosen.select("text", "label").limit(most).mapInArrow(run, "logit double, label int").toArrow()
+    told = chosen.select("text", "label").mapInArrow(run, "logit double, label int").orderBy("logit", "label").toArrow()
+    work.drop("labelled")
     return net, _platt(told.column("logit").to_numpy(), told.column("label").to_numpy().astype(np.float64))
 
 
@@ -341,13 +392,19 @@ def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.1), float(w[1])
 
 
-def score_documents(docs: DataFrame, net: Network, mapping: tuple[float, float], column: str = "toxicity") -> DataFrame:
-    """docs with a column (0 to 1) for its whole text. A text without words scores 0; a null text is an empty one."""
+def score_documents(docs: DataFrame, net: Network, mapping: tuple[float, float], column: str = "__sift_toxicity") -> DataFrame:
+    """docs with a column (0 to 1) for its whole text. A text without words scores 0; a null text is an empty one.
+
+    Rows are independent of each other, so nulls and repeated ids or rows pass through. Very long texts are scored
+    whole, in blocks of windows. docs must not have the new column already (names that start with "__sift_" are
+    reserved); other columns stay.
+    """
+    if column in docs.columns:
+        raise ValueError(f"docs has a column {column} already")
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(net)  # of fixed size
     slope, offset = mapping
-    kept = [c for c in docs.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -356,21 +413,21 @@ def score_documents(docs: DataFrame, net: Network, mapping: tuple[float, float],
             scores = np.where(np.isfinite(logits), sigmoid(slope * np.where(np.isfinite(logits), logits, 0.0) + offset), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, column])
 
-    rows = docs.select(*kept)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(column, T.DoubleType())]))
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows whose score is CUT or more. Columns stay; names that start with "__sift_" are reserved."""
     model = fit_toxicity(docs, labels, Workspace(docs.sparkSession, "toxicity"))
-    return score_documents(docs, *model, column="__sift_toxicity").filter(F.col("__sift_toxicity") < CUT).drop("__sift_toxicity")
+    return score_documents(docs, *model).filter(F.col("__sift_toxicity") < CUT).drop("__sift_toxicity")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, fitted on training rows of labels.toxic."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels, Workspace(spark, "toxicity"))
-    scored = score_documents(docs.select("doc_id", "text"), *model)
+    scored = score_documents(docs.select("doc_id", "text"), *model, column="score")
     return scored.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= CUT).cast("int").alias("predicted")
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )
