@@ -91,6 +91,10 @@ KIND_OF_EXTENSION = {
     "document": "docx docm dotx dotm xlsx xls xlsm xltx xltm pptx pptm potx potm pages numbers key",
     "epub": "epub",
     "dicom": "dcm dicom",
+    "binary": (
+        "exe dll so dylib sys scr efi o a lib obj wasm deb rpm pkg msi snap flatpak class jar pyc pyd "
+        "bin img iso dmg vmdk vhd qcow2 db sqlite sqlite3 mdb ttf otf woff woff2"
+    ),
     "code": (
         "rs ts js mjs cjs jsx tsx py rb go java c cpp cc cxx h hpp cs swift kt scala r m pl "
         "sh bash zsh fish ps1 bat cmd vbs vba bas cls lua el clj hs ml fs ex erl dart jl nim zig s asm "
@@ -134,19 +138,23 @@ def expand_kinds(kinds: Iterable[str]) -> list[str]:
 # --- terms and predicates ---
 
 
+def _bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogatepass"))
+
+
 def fuzzy_terms(query: str) -> list[str]:
-    """Runs of letters, digits and underscores of at least MIN_TERM characters."""
-    return [t for t in re.split(r"[^\w]+", query) if len(t) >= MIN_TERM]
+    """Runs of letters, digits and underscores of at least MIN_TERM bytes of UTF-8."""
+    return [t for t in re.split(r"[^\w]+", query) if _bytes(t) >= MIN_TERM]
 
 
 def phrase_terms(query: str) -> list[str]:
-    """The whole query as one literal, if it is long enough."""
-    return [query] if len(query) >= MIN_TERM else []
+    """The whole query as one literal, if it has MIN_TERM bytes."""
+    return [query] if _bytes(query) >= MIN_TERM else []
 
 
 def document_terms(query: str) -> list[str]:
-    """White-space separated tokens of at least MIN_TERM characters; punctuation counts."""
-    return [t for t in query.split() if len(t) >= MIN_TERM]
+    """White-space separated tokens of at least MIN_TERM bytes; punctuation counts."""
+    return [t for t in query.split() if _bytes(t) >= MIN_TERM]
 
 
 def regex_literals(pattern: str) -> str:
@@ -210,7 +218,41 @@ def meta_tags(content: Column) -> Column:
 
 
 def truncate_error(message: Column, most: int = 500) -> Column:
-    return F.when(F.length(message) > most, F.concat(F.substring(message, 1, most), F.lit("…"))).otherwise(message)
+    """At most `most` bytes of UTF-8, cut between characters, and an ellipsis if anything was cut."""
+    data = F.encode(message, "UTF-8")
+    size = F.lit(most - 3)  # a character has four bytes at most
+    for n in range(most - 2, most + 1):
+        goes_on = F.hex(F.substring(data, n + 1, 1)).between("80", "BF")
+        size = F.when(goes_on, size).otherwise(F.lit(n))
+    kept = F.decode(F.substring(data, F.lit(1), size), "UTF-8")
+    return F.when(F.octet_length(message) > most, F.concat(kept, F.lit("…"))).otherwise(message)
+
+
+def image_dimensions(tags: Column) -> Column:
+    """width, height from an image's tags (see `meta_tags`): the Exif pixel size, else the Exif image size, else the header's; null
+    without both. Of repeated tags the last counts."""
+    last = lambda prefix, key: F.element_at(F.filter(tags, lambda t: (t["prefix"] == prefix) & (t["key"] == key)), -1)["value"]
+    number = lambda c: F.regexp_extract(c, r"^\s*(\d+)", 1).try_cast("int")
+    has = lambda prefix, key: F.exists(tags, lambda t: (t["prefix"] == prefix) & (t["key"] == key))
+    exif = lambda key: F.when(has("EXIF", key), number(last("EXIF", key)))
+    plain = F.when(has("IMAGE", "dimensions"), last("IMAGE", "dimensions"))
+    side = lambda at: F.regexp_extract(plain, r"^(\d+)x(\d+)", at).try_cast("int")
+    width = F.coalesce(exif("PixelXDimension"), exif("ImageWidth"), side(1))
+    height = F.coalesce(exif("PixelYDimension"), exif("ImageLength"), side(2))
+    return F.when((width > 0) & (height > 0), F.struct(width.alias("width"), height.alias("height")))
+
+
+def force_timestamp(text: Column) -> Column:
+    """Seconds since 1970 of a number, a date, or a date and time (blank or T between) in the session's time zone; else null."""
+    shape = lambda pattern, form: F.when(F.rlike(text, F.lit(pattern)), F.unix_timestamp(F.try_to_timestamp(text, F.lit(form))))
+    day, clock = r"^\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}:\d{2}$"
+    number = F.when(F.rlike(text, F.lit(r"^[+-]?\d+$")), text.try_cast("long"))
+    return F.coalesce(number, shape(f"{day}T{clock}", "yyyy-MM-dd'T'HH:mm:ss"), shape(f"{day} {clock}", "yyyy-MM-dd HH:mm:ss"), shape(f"{day}$", "yyyy-MM-dd"))
+
+
+def event_below(path: Column, new_path: Column, prefix: str) -> Column:
+    """Whether a change concerns a folder or anything below it."""
+    return F.startswith(path, F.lit(prefix)) | F.coalesce(F.startswith(new_path, F.lit(prefix)), F.lit(False))
 
 
 def content_hash(data: Column, version: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import exprs
+from siftlake.operators.search import with_duplicates
 from siftlake.schemas import LINKS, PATH_SLOT
 from siftlake.storage import join_small
 
@@ -70,6 +71,33 @@ def file_page(lines: DataFrame, source: str, path: str, offset: int = 0, limit:
     return page.select("line_number", "content", "total").orderBy("line_number")
 
 
+def file_view(index, path: str, source: str, errors: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """One row about a file and a page of it: path, kind, mtime, size, total_lines, metadata (its path and tags), lines and
+    their line_offsets (empty where they follow each other from slot 2 on), content_unavailable, indexing_error (an
+    archive member's own, else its archive's), duplicate_paths.
+
+    index has files and lines (see siftlake.plans.corpus.Index); errors: source, path, error. An unknown file gives no
+    row. A page without a limit is the whole file, which has MAX_LINES_PER_FILE lines at most.
+    """
+    own = index.files.filter((F.col("source") == source) & (F.col("path") == path))
+    page = file_page(index.lines, source, path, offset, limit)
+    content, shown = F.col("line_number") >= 2, exprs.strip_path_mark(F.col("content"))
+    sorted_of = lambda keep, text: F.sort_array(F.collect_list(F.when(keep, F.struct("line_number", text.alias("text")))))
+    told = page.agg(
+        F.max("total").alias("total_lines"), sorted_of(~content & (shown != ""), shown)["text"].alias("metadata"),
+        sorted_of(content, F.col("content")).alias("rows"), F.max(content).alias("has_content"),
+    )
+    offsets = F.col("rows.line_number")
+    plain = F.forall(F.transform(offsets, lambda n, i: n == i + 2), lambda same: same)
+    absent = (F.coalesce("total_lines", F.lit(0)) > offset) & ~F.coalesce("has_content", F.lit(False))
+    told = told.select(
+        "total_lines", "metadata", F.col("rows.text").alias("lines"),
+        F.when(plain, F.array().cast("array<bigint>")).otherwise(offsets).alias("line_offsets"), absent.alias("content_unavailable"),
+    )
+    found = member_errors(own.crossJoin(F.broadcast(told)), errors).withColumnRenamed("error", "indexing_error")  # one row each
+    return with_duplicates(found, index.files).drop("text")
+
+
 def gap_filled(lines: DataFrame, source: str, path: str, start: int, end: int) -> DataFrame:
     """Lines [start, end) of a file, empty where the index has none."""
     spark = lines.sparkSession

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import exprs
+from siftlake.schemas import PATH_MARK, PATH_SLOT
 
 #: Order of the operations of one batch.
 PHASES = {"delete": 0, "rename": 1, "upsert": 2, "clear_error": 3, "error": 4, "scan": 5}
@@ -75,6 +76,47 @@ def rename_paths(files: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.withColumn("path", F.when(F.col("new").isNotNull(), F.concat("new", member)).otherwise(F.col("path"))).drop("old", "new")
 
 
+def rename_lines(lines: DataFrame, moves: DataFrame) -> DataFrame:
+    """lines of an index with moves applied (see `rename_paths`): paths, and the path slot's content."""
+    moved = rename_paths(lines.select("source", "path").distinct().withColumn("before", F.col("path")), moves).withColumnRenamed("path", "after")
+    rows = lines.join(moved.withColumnRenamed("before", "path"), ["source", "path"])
+    content = F.when(F.col("line_number") == PATH_SLOT, F.concat(F.lit(PATH_MARK), "after")).otherwise(F.col("content"))
+    return rows.withColumn("content", content).withColumn("path", F.col("after")).drop("after").select(*lines.columns)
+
+
+def without_stale_members(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """files (source, path, seq) without the archive members that were indexed before their archive's last sentinel.
+
+    A sentinel is an upsert of an archive with mtime 0: its members are indexed anew from there on. If that breaks
+    off, the archive keeps mtime 0 and counts as modified at the next scan.
+    """
+    outer = changes.filter((F.col("op") == "upsert") & (F.col("mtime") == 0) & ~exprs.is_composite(F.col("path")))
+    last = outer.groupBy("source", F.col("path").alias("outer_path")).agg(F.max("seq").alias("sentinel"))
+    rows = files.withColumn("outer_path", exprs.outer_path(F.col("path"))).join(last, ["source", "outer_path"], "left")
+    stale = exprs.is_composite(F.col("path")) & (F.col("seq") < F.col("sentinel"))
+    return rows.filter(~F.coalesce(stale, F.lit(False))).drop("outer_path", "sentinel")
+
+
+def apply_batch(files: DataFrame, lines: DataFrame, changes: DataFrame, new_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files and lines of an index after one batch: deletions, then renames, then upserts with their lines.
+
+    changes: op, source, path, new_path, mtime, size, kind, file_hash, force, seq; new_lines: source, path, line_number,
+    content. An upsert older than what the index has is left out unless forced or of mtime 0; a path keeps its file_id.
+    A path that the batch upserts twice takes the later one.
+    """
+    gone = changes.filter("op = 'delete'").select("source", "path")
+    moves = changes.filter("op = 'rename'").select("source", F.col("path").alias("old"), F.col("new_path").alias("new"))
+    files, lines = rename_paths(delete_paths(files, gone), moves), rename_lines(delete_paths(lines, gone), moves)
+    sent = latest(changes.filter("op = 'upsert'").select("source", "path", "mtime", "size", "kind", "file_hash", "force", "seq", "op"))
+    known = files.select("source", "path", F.col("mtime").alias("known"), F.col("file_id").alias("known_id"))
+    sent = sent.join(known, ["source", "path"], "left")
+    sent = sent.filter(F.coalesce("force", F.lit(False)) | (F.col("mtime") == 0) | F.col("known").isNull() | (F.col("mtime") >= F.col("known")))
+    upserts = sent.withColumn("file_id", F.coalesce("known_id", F.xxhash64("source", "path")))
+    files = files.join(upserts, ["source", "path"], "left_anti").unionByName(upserts.select(*files.columns))
+    told = new_lines.select("source", "path", "line_number", "content").join(upserts, ["source", "path"]).select(*lines.columns)
+    return files, lines.join(upserts, ["source", "path"], "left_anti").unionByName(told)
+
+
 def activity_of(changes: DataFrame) -> DataFrame:
     """Activity rows of changes (op, is_new, mtime): outer files only, no archive sentinels (mtime 0)."""
     action = F.when(F.col("op") == "delete", "deleted").when(F.col("op") == "rename", "renamed")

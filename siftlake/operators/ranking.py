@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+_LOW = -(1 << 60)
 
 
 def _occurrences(content: Column, term: str) -> Column:
@@ -16,23 +18,26 @@ def _occurrences(content: Column, term: str) -> Column:
     return (F.length(low) - F.length(F.replace(low, F.lit(term.lower()), F.lit("")))) / float(len(term))
 
 
-def bm25(lines: DataFrame, terms: list[str]) -> DataFrame:
-    """Lines that hold all terms, with rank (lower is better).
+def bm25(lines: DataFrame, terms: list[str], hits: DataFrame | None = None) -> DataFrame:
+    """hits (default: the lines that hold all terms) with rank (lower is better).
 
-    A line's length is its number of trigrams. One pass gathers the statistics (a single row, so its broadcast is
-    bounded), a second one ranks the matching lines.
+    A line's length is its number of trigrams. One pass over lines gathers the statistics (a single row, so its
+    broadcast is bounded), a second one ranks the hits. A term that a hit lacks adds nothing to its rank.
     """
     length = F.greatest(F.length("content") - 2, F.lit(0))
     held = {f"df{i}": F.count(F.when(F.contains(F.lower("content"), F.lit(t.lower())), 1)) for i, t in enumerate(terms)}
     stats = lines.agg(F.count(F.lit(1)).alias("total"), F.avg(length).alias("mean_length"), *[c.alias(k) for k, c in held.items()])
-    hits = lines.filter(reduce(lambda a, b: a & b, [F.contains(F.lower("content"), F.lit(t.lower())) for t in terms]))
+    if hits is None:
+        hits = lines.filter(reduce(lambda a, b: a & b, [F.contains(F.lower("content"), F.lit(t.lower())) for t in terms], F.lit(True)))
     scored = hits.crossJoin(F.broadcast(stats))
+    relative = F.when(F.col("mean_length") > 0, length / F.col("mean_length")).otherwise(F.lit(0.0))
     rank = F.lit(0.0)
     for i, term in enumerate(terms):
         df, tf = F.col(f"df{i}"), _occurrences(F.col("content"), term)
         idf = F.greatest(F.log((F.col("total") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        rank = rank - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean_length")))
-    return scored.withColumn("rank", rank).drop("total", "mean_length", *held)
+        rank = rank - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * relative))
+    # Sums of logarithms differ in their last bits between machines; order and pages must not.
+    return scored.withColumn("rank", F.round(rank, 9)).drop("total", "mean_length", *held)
 
 
 def fuzzy_score(text: str, query: str, case_sensitive: bool = False) -> int | None:
@@ -48,21 +53,30 @@ def fuzzy_score(text: str, query: str, case_sensitive: bool = False) -> int | No
 
 
 def _align(text: str, atom: str) -> int | None:
-    low = float("-inf")
-    bonus = [10 if i == 0 else 8 if not text[i - 1].isalnum() else 0 for i in range(len(text))]
-    # matched[j]: best with atom[: i + 1] ending at text[j]; carried: best with it ending at or before j, gaps paid.
-    matched, carried = [0.0] * len(text), [0.0] * (len(text) + 1)
+    """Score of the best alignment of atom in text. One step per character of atom, over all places of text at once."""
+    if not atom:
+        return 0
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(chars)
+    if not n:
+        return None
+    starts = np.fromiter(("0" if c.isalnum() else "8" for c in text), "U1", n).astype(np.int64)
+    bonus = np.append(10, starts[:-1])
+    place = np.arange(n)
+    # matched[j]: best with the atom so far ending at text[j]; carried[j]: best with it ending before j, gaps paid.
+    matched, carried = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i, c in enumerate(atom):
-        new, reach = [low] * len(text), [low] * (len(text) + 1)
-        for j, t in enumerate(text):
-            if t == c:
-                fresh = carried[j] + 16 + bonus[j]
-                run = matched[j - 1] + 16 + max(6, bonus[j]) if i and j else low
-                new[j] = max(fresh, run)
-            reach[j + 1] = max(reach[j] - 1, new[j] - 3)
-        matched, carried = new, reach
-    best = max(matched, default=low) if atom else 0
-    return None if best == low else int(best)
+        here = chars == ord(c)
+        new = np.where(here, carried + 16 + bonus, _LOW)
+        if i:
+            new[1:] = np.maximum(new[1:], np.where(here[1:], matched[:-1] + 16 + np.maximum(6, bonus[1:]), _LOW))
+        new = np.where(new < _LOW // 2, _LOW, new)
+        if new.max() == _LOW:
+            return None
+        # A gap costs 3 to open and 1 a character: the running maximum of new + place, less the place.
+        reach = np.maximum.accumulate(np.where(new == _LOW, _LOW, new - 3 + place)) - place
+        matched, carried = new, np.append(_LOW, np.where(reach < _LOW // 2, _LOW, reach)[:-1])
+    return int(matched.max())
 
 
 def fuzzy_score_column(text: Column, query: str, case_sensitive: bool = False) -> Column:

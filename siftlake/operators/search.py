@@ -101,24 +101,35 @@ def candidates(index: Index, p: SearchParams) -> DataFrame:
     return found
 
 
-def document_lines(index: Index, p: SearchParams, per_file: int | None = LINES_PER_FILE) -> DataFrame:
-    """Lines with any token, of files that hold every token somewhere; hits_truncated tells that a file has more.
+def document_lines(index: Index, p: SearchParams, per_file: int | None = LINES_PER_FILE, max_files: int | None = None) -> DataFrame:
+    """Lines with any token, of files that hold every token somewhere, with rank (BM25 over all tokens, lower is better)
+    and turn (their place in the file by rank); hits_truncated tells that a file has more lines than per_file.
 
-    Only lines with a token are shuffled, once, by file; which tokens a file has, how many lines match and which come
-    first are window functions over that one exchange.
+    max_files keeps the files whose best lines rank first. Only lines with a token are shuffled, once, by file; which
+    tokens a file has, how many lines match and which come first are window functions over that one exchange.
     """
     terms = exprs.document_terms(p.q)
     if not terms:
-        return index.lines.filter(F.lit(False)).withColumn("hits_truncated", F.lit(False))
+        return index.lines.filter(F.lit(False)).select("*", F.lit(0.0).alias("rank"), F.lit(1).alias("turn"), F.lit(False).alias("hits_truncated"))
     matching = index.lines.filter(file_filter(p) & exprs.contains_any(F.col("content"), terms))
+    ranked = bm25(index.lines, terms, matching)
     whole = Window.partitionBy(*KEY)
     every = reduce(lambda a, b: a & b, [F.max(exprs.contains_term(F.col("content"), t) & _case(p, F.col("content"), [t])).over(whole) for t in terms])
-    found = matching.withColumn("all_terms", every).withColumn("matches", F.count(F.lit(1)).over(whole))
-    found = found.withColumn("turn", F.row_number().over(whole.orderBy("line_number"))).filter("all_terms")
+    found = ranked.withColumn("all_terms", every).withColumn("matches", F.count(F.lit(1)).over(whole))
+    found = found.withColumn("turn", F.row_number().over(whole.orderBy("rank", "line_number"))).filter("all_terms")
+    if max_files is not None:
+        first = found.filter("turn = 1").orderBy("rank", *KEY).limit(max_files).select(*KEY)
+        found = found.join(first, list(KEY), "left_semi")
     if per_file is not None:
         found = found.filter(F.col("turn") <= per_file)
     more = F.col("matches") > per_file if per_file is not None else F.lit(False)
-    return found.withColumn("hits_truncated", more).drop("all_terms", "matches", "turn")
+    return found.withColumn("hits_truncated", more).drop("all_terms", "matches")
+
+
+def best_lines(index: Index, p: SearchParams) -> DataFrame:
+    """The best-ranked line of each file that holds every token; the first p.limit files by the rank of these lines."""
+    best = document_lines(index, p, per_file=1).drop("turn", "hits_truncated")
+    return best.orderBy("rank", *KEY).limit(p.limit)
 
 
 def grouped_by_file(hits: DataFrame) -> DataFrame:
@@ -130,6 +141,12 @@ def grouped_by_file(hits: DataFrame) -> DataFrame:
     return by.select("source", "file_id", "path", "kind", "mtime", "size", "first.line_number", "first.content", extra.alias("extra_matches"))
 
 
+def extra_matches(hits: DataFrame) -> DataFrame:
+    """The hits that `grouped_by_file` only counts, a row each: all of a file but its first, without its path."""
+    turn = F.row_number().over(Window.partitionBy(*KEY).orderBy("line_number"))
+    return hits.withColumn("turn", turn).filter((F.col("turn") > 1) & (F.col("line_number") > PATH_SLOT)).drop("turn")
+
+
 def document_regex(index: Index, p: SearchParams) -> DataFrame:
     """Files whose whole text (all slots, joined by line ends) matches; the line is where the first match starts."""
     texts = index.texts.filter(file_filter(p))
@@ -186,29 +203,66 @@ def search_total(index: Index, p: SearchParams) -> DataFrame:
     return total.withColumn("capped", (page == p.limit) & (page > 0))
 
 
+def capped_total(index: Index, p: SearchParams, cap: int = 2000) -> DataFrame:
+    """total of unscored hits, counted no further than cap: tasks stop when they have so many."""
+    return candidates(index, p).limit(cap).agg(F.count(F.lit(1)).alias("total"))
+
+
 def ranked_lines(index: Index, p: SearchParams) -> DataFrame:
-    """Lines with all terms, ranked by BM25 (lower is better)."""
-    return bm25(index.lines.filter(file_filter(p)), exprs.fuzzy_terms(p.q))
+    """The p.limit best lines with all terms by BM25 (lower is better)."""
+    terms = exprs.fuzzy_terms(p.q)
+    hits = index.lines.filter(file_filter(p) & exprs.contains_all(F.col("content"), terms))
+    return bm25(index.lines, terms, hits).orderBy("rank", *KEY, "line_number").limit(p.limit)
+
+
+def duplicate_groups(files: DataFrame) -> DataFrame:
+    """file_hash, files, path (the least): one row for each hash that several files have. Files without a hash have no duplicates."""
+    groups = files.filter("file_hash is not null").groupBy("file_hash").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("path"))
+    return groups.filter("files > 1")
+
+
+def singletons(files: DataFrame) -> DataFrame:
+    """file_hash, path of the hashes that one file has."""
+    groups = files.filter("file_hash is not null").groupBy("file_hash").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("path"))
+    return groups.filter("files = 1").drop("files")
 
 
-def duplicate_paths(files: DataFrame) -> DataFrame:
-    """source, file_id, duplicate_paths: for files whose hash others have too, the others' sorted paths.
+def duplicate_members(files: DataFrame) -> DataFrame:
+    """Rows of files that have duplicates, with duplicates: how many others there are. Groups are never gathered."""
+    others = duplicate_groups(files).select("file_hash", (F.col("files") - 1).alias("duplicates"))
+    return files.join(others, "file_hash")
 
-    Paths are gathered once per hash, not once per pair; files without a hash have no duplicates.
+
+def with_duplicates(page: DataFrame, files: DataFrame) -> DataFrame:
+    """A page of hits (source, file_id) with duplicate_paths: the other paths of the same content, sorted; empty without any.
+
+    Paths are gathered for the hits of the page, which is bounded, and for nothing else.
     """
-    groups = files.filter("file_hash is not null").groupBy("file_hash").agg(
-        F.sort_array(F.collect_list(F.struct("path", "source", "file_id"))).alias("members")
-    )
-    groups = groups.filter(F.size("members") > 1)
-    own = files.select("source", "file_id", "file_hash").join(groups, "file_hash")
-    others = F.filter("members", lambda m: (m["file_id"] != F.col("file_id")) | (m["source"] != F.col("source")))
-    return own.select("source", "file_id", F.transform(others, lambda m: m["path"]).alias("duplicate_paths"))
-
-
-def with_duplicates(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Hits with duplicate_paths (empty without any). Copies are sought for the hits' files only."""
-    wanted = hits.select("source", "file_id").distinct()
-    hashes = files.join(wanted, ["source", "file_id"], "left_semi").select("file_hash").distinct()
-    found = duplicate_paths(files.join(hashes, "file_hash", "left_semi"))
-    joined = hits.join(found, ["source", "file_id"], "left")
+    own = page.select(*KEY).distinct().join(files.select(*KEY, "file_hash"), list(KEY)).filter("file_hash is not null")
+    other = files.select("file_hash", "path", F.col("source").alias("o_source"), F.col("file_id").alias("o_id"))
+    pairs = own.join(other, "file_hash").filter((F.col("o_id") != F.col("file_id")) | (F.col("o_source") != F.col("source")))
+    found = pairs.groupBy(*KEY).agg(F.sort_array(F.collect_list("path")).alias("duplicate_paths"))
+    joined = page.join(found, list(KEY), "left")
     return joined.withColumn("duplicate_paths", F.coalesce("duplicate_paths", F.array().cast("array<string>")))
+
+
+def merge_page(shown: DataFrame, page: DataFrame) -> DataFrame:
+    """Hits shown so far and those of the next page that are new; the next offset advances by the whole page."""
+    key = ["source", "path", "archive_path", "line_number"]
+    same = [shown[k].eqNullSafe(page[k]) for k in key]
+    return shown.unionByName(page.join(shown, reduce(lambda a, b: a & b, same), "left_anti").dropDuplicates(key))
+
+
+def next_offset(offset: int, page: int, total: int) -> int:
+    """Where the next page of a file starts: the lines that the page covered count, not those that it returned."""
+    return offset + min(page, total - offset)
+
+
+def clamp_window(start: int, size: int, total: int) -> int:
+    """First line of a window of size lines that stays within total lines."""
+    return max(0, min(start, total - size))
+
+
+def centred_window(line: int, size: int, total: int) -> int:
+    """First line of a window with a line in its middle, as far as the ends allow."""
+    return clamp_window(line - size // 2, size, total)

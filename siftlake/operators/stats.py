@@ -80,3 +80,9 @@ def batch_summary(batches: DataFrame) -> DataFrame:
     return batches.select(
         "id", F.size("files").alias("files"), content.alias("content_lines"), F.size("delete_paths").alias("deletes"), F.size("failures").alias("failures")
     )
+
+
+def delete_delta(files: DataFrame, gone: DataFrame) -> DataFrame:
+    """source, kind, count, size that the deletion of paths (source, path) takes from the totals; archive members do not count."""
+    outer = files.filter(~exprs.is_composite(F.col("path"))).join(gone.select("source", "path").distinct(), ["source", "path"], "left_semi")
+    return outer.groupBy("source", "kind").agg((-F.count(F.lit(1))).alias("count"), (-F.coalesce(F.sum("size"), F.lit(0))).alias("size"))

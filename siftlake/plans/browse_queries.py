@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlake.functions import exprs
-from siftlake.operators import browse, content, stats
+from siftlake.operators import browse, content, search, stats
+from siftlake.operators.search import SearchParams
 from siftlake.plans.corpus import ACTIVITY_SQL, FILES_SQL, LINES_SQL, MEMBERS_SQL, activity, archive_members, document_files, document_index
 from siftlake.storage import read_table
 
@@ -24,11 +25,11 @@ def _query(name: str, sql: str | None = None):
 
 
 def _requests(spark, d):
-    files = document_files(spark, d).filter("file_id % 7 = 0")
+    files = document_files(spark, d)
     return files.select("source", "path", (F.lit(2) + F.col("file_id") % 5).alias("center"))
 
 
-_REQUESTS_SQL = "r as (select source, path, 2 + file_id % 5 as center from files where file_id % 7 = 0)"
+_REQUESTS_SQL = "r as (select source, path, 2 + file_id % 5 as center from files)"
 
 
 @_query(
@@ -76,10 +77,11 @@ def w8_gap_fill(spark, d):
 @_query(
     "w10_offsets",
     f"with {LINES_SQL} select source, file_id, max(line_number) - min(line_number) + 1 = count(*) as sequential from lines "
-    "where line_number >= 2 and (line_number + file_id) % 5 <> 0 group by source, file_id",
+    "where line_number >= 2 and content <> '' group by source, file_id",
 )
 def w10_offsets(spark, d):
-    return browse.needs_offsets(document_index(spark, d).lines.filter("(line_number + file_id) % 5 <> 0"))
+    # Empty lines are not stored, which leaves gaps.
+    return browse.needs_offsets(document_index(spark, d).lines.filter("content <> ''"))
 
 
 @_query(
@@ -100,7 +102,7 @@ def b1_list_files(spark, d):
 
 
 def _members(spark, d):
-    plain = document_files(spark, d).select("source", "file_id", "path", "kind", "size", "mtime").filter("file_id % 2 = 1")
+    plain = document_files(spark, d).select("source", "file_id", "path", "kind", "size", "mtime")
     inner = archive_members(spark, d).select(
         "source", "file_id", "path", F.lit("text").alias("kind"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime")
     )
@@ -118,7 +120,7 @@ def b2_archive_listing(spark, d):
 
 @_query(
     "b2_plain_root",
-    f"with {FILES_SQL} select distinct source, split_part(path, '/', 1) as name, split_part(path, '/', 1) || '/' as path, false as is_file from files where file_id % 2 = 1",
+    f"with {FILES_SQL} select distinct source, split_part(path, '/', 1) as name, split_part(path, '/', 1) || '/' as path, false as is_file from files",
 )
 def b2_plain_root(spark, d):
     return browse.list_dir(_members(spark, d), "").select("source", "name", "path", "is_file")
@@ -225,6 +227,33 @@ def a11_delta(spark, d):
     return stats.apply_deltas(base, gone)
 
 
+@_query(
+    "a10_delete_delta",
+    f"with {FILES_SQL} select f.source, f.kind, -count(*) as count, -sum(f.size)::bigint as size from files f join labels l on l.doc_id = f.file_id where l.toxic = 1 group by all",
+)
+def a10_delete_delta(spark, d):
+    files = document_files(spark, d)
+    toxic = read_table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("file_id"))
+    return stats.delete_delta(files, files.join(toxic, "file_id", "left_semi"))
+
+
+@_query(
+    "b5_file_view",
+    f"with {LINES_SQL}, o as (select * from lines where file_id = 12) select path, kind, mtime, size, (select count(*) - 2 from o)::bigint as total_lines, path as metadata, "
+    "(select string_agg(content, chr(10) order by line_number) from o where line_number between 3 and 5) as lines, "
+    "(select string_agg(line_number::varchar, ',' order by line_number) from o where line_number between 3 and 5) as line_offsets, 'broken' as indexing_error, "
+    "(select count(*) from files f where f.file_hash = files.file_hash and f.file_id <> 12) as duplicates from files where file_id = 12",
+)
+def b5_file_view(spark, d):
+    source, path = _file(spark, d, 12)
+    errors = spark.createDataFrame([(source, path, "broken")], "source string, path string, error string")
+    seen = browse.file_view(document_index(spark, d), path, source, errors, offset=1, limit=3)
+    return seen.select(
+        "path", "kind", "mtime", "size", "total_lines", F.array_join("metadata", " ").alias("metadata"), F.array_join("lines", "\n").alias("lines"),
+        F.array_join(F.col("line_offsets").cast("array<string>"), ",").alias("line_offsets"), "indexing_error", F.size("duplicate_paths").cast("long").alias("duplicates"),
+    )
+
+
 _CONTENT_SQL = (
     "keep as (select file_hash, min({'s': source, 'f': file_id}) as k from files group by file_hash), "
     "stored as (select l.file_hash, line_number - 2 as line_number, rtrim(content) as content from lines l join keep on keep.file_hash = l.file_hash "
@@ -302,6 +331,30 @@ def src19_chunk_range(spark, d):
     return found.select("start_line", "end_line")
 
 
+@_query(
+    "j5_content_lookup",
+    f"with {LINES_SQL}, {_CONTENT_SQL} select l.source, l.file_id, l.line_number, s.content as stored from lines l left join stored s on s.file_hash = l.file_hash and s.line_number = l.line_number - 2 "
+    "where contains(lower(l.content), 'of the')",
+)
+def j5_content_lookup(spark, d):
+    index = document_index(spark, d)
+    hits = search.candidates(index, SearchParams("of the", mode="exact"))
+    return content.lookup(hits, content.blobs(index.lines)).select("source", "file_id", "line_number", "stored")
+
+
+@_query(
+    "j12_accepted_payloads",
+    f"with {LINES_SQL} select f.file_hash, string_agg(rtrim(l.content), chr(10) order by l.line_number) as text from files f join lines l on l.source = f.source and l.file_id = f.file_id "
+    "where l.line_number >= 2 and f.kind <> 'pdf' group by f.source, f.path, f.file_hash",
+)
+def j12_accepted_payloads(spark, d):
+    index = document_index(spark, d)
+    parts = index.lines.filter("line_number >= 2").groupBy("source", "path", "file_hash").agg(F.collect_list(F.struct("line_number", "content")).alias("lines"))
+    # The PDF files have changed since they were sent.
+    now = index.files.withColumn("file_hash", F.when(F.col("kind") == "pdf", F.lit("changed")).otherwise(F.col("file_hash")))
+    return content.accepted_payloads(parts, now)
+
+
 @_query("c3_get_lines", f"with {LINES_SQL} select line_number - 2 as line_number, rtrim(content) as content from lines where file_id = 12 and line_number between 5 and 9")
 def c3_get_lines(spark, d):
     row = document_files(spark, d).filter("file_id = 12").select("file_hash").first()

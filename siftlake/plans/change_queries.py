@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlake.operators import changes, stats
-from siftlake.plans.corpus import ACTIVITY_SQL, FILES_SQL, MEMBERS_SQL, SCAN_SQL, WATCH_SQL, activity, archive_members, document_files, scan_snapshots, watch_events
+from siftlake.plans.corpus import (
+    ACTIVITY_SQL, FILES_SQL, LINES_SQL, MEMBERS_SQL, SCAN_SQL, WATCH_SQL, activity, archive_members, document_files, document_index, scan_snapshots, watch_events,
+)
+from siftlake.storage import read_table
 from siftlake.streaming import windows
 
 QUERIES: dict = {}
@@ -172,13 +175,25 @@ def st2_collapse(spark, d):
     return windows.collapse(watch_events(spark, d), "user_id", "day")
 
 
+def _windows_sql(seconds: int) -> str:
+    """o: the starts of each user's windows. The next one opens at the first event that the one before it does not hold."""
+    return (
+        f"o as (select user_id, min(ts) as start from watch group by user_id union all "
+        f"select o.user_id, (select min(w.ts) from watch w where w.user_id = o.user_id and w.ts >= o.start + {seconds}) as start from o where o.start is not null), "
+        "p as (select w.*, (select max(o.start) from o where o.user_id = w.user_id and o.start <= w.ts) as window_start from watch w)"
+    )
+
+
+_WINDOW = 30 * 86_400
+
+
 @_query(
     "st1_windows",
-    f"with {WATCH_SQL} select ts - ts % 3600 as window_start, count(*) as events, count(distinct user_id) as paths from watch group by 1",
+    f"with recursive {WATCH_SQL}, {_windows_sql(_WINDOW)} select user_id, window_start, count(*) as events from p group by all",
 )
 def st1_windows(spark, d):
-    dealt = windows.debounce_windows(watch_events(spark, d), 3600)
-    return dealt.groupBy("window_start").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("paths"))
+    dealt = windows.debounce_windows(watch_events(spark, d), "user_id", seconds=_WINDOW, path="seq")
+    return dealt.groupBy("user_id", "window_start").agg(F.count(F.lit(1)).alias("events"))
 
 
 @_query(
@@ -192,10 +207,76 @@ def j13_rename_pairs(spark, d):
 
 @_query(
     "st9_rate_limit",
-    f"with {WATCH_SQL} select user_id, seq, row_number() over (partition by user_id, ts - ts % 86400 order by ts, seq) <= 2 as allowed from watch",
+    f"with recursive {WATCH_SQL}, {_windows_sql(_WINDOW)} select user_id, seq, row_number() over (partition by user_id, window_start order by ts, seq) <= 2 as allowed from p",
 )
 def st9_rate_limit(spark, d):
-    return windows.rate_limited(watch_events(spark, d), "user_id", limit=2, seconds=86_400).select("user_id", "seq", "allowed")
+    return windows.rate_limited(watch_events(spark, d), "user_id", limit=2, seconds=_WINDOW).select("user_id", "seq", "allowed")
+
+
+_BATCH_SQL = (
+    f"{LINES_SQL}, gone as (select f.* from files f join labels l on l.doc_id = f.file_id where l.toxic = 1), "
+    "sent as (select f.* from files f join labels l on l.doc_id = f.file_id where l.quality = 0 and l.toxic = 0)"
+)
+
+
+def _batch(spark, d):
+    """A batch over documents as an index: toxic ones are deleted, those of low quality are sent again, older by an hour if their id is odd."""
+    index, labels = document_index(spark, d), read_table(spark, d, "labels").withColumnRenamed("doc_id", "file_id")
+    marked = index.files.join(labels, "file_id")
+    none = lambda t: F.lit(None).cast(t)
+    gone = marked.filter("toxic = 1").select(
+        F.lit("delete").alias("op"), "source", "path", none("string").alias("new_path"), none("long").alias("mtime"), none("long").alias("size"), none("string").alias("kind"),
+        none("string").alias("file_hash"), F.lit(False).alias("force"), F.lit(1).cast("long").alias("seq"),
+    )
+    mtime = F.when(F.col("file_id") % 2 == 1, F.col("mtime") - 3600).otherwise(F.col("mtime") + 3600)
+    sent = marked.filter("quality = 0 and toxic = 0").select(
+        F.lit("upsert").alias("op"), "source", "path", none("string").alias("new_path"), mtime.alias("mtime"), F.lit(3).cast("long").alias("size"), "kind",
+        F.lit("new").alias("file_hash"), F.lit(False).alias("force"), F.lit(2).cast("long").alias("seq"),
+    )
+    told = sent.select("source", "path", F.posexplode(F.array(F.concat(F.lit("[PATH] "), "path"), F.lit(""), F.lit("now"))).alias("line_number", "content"))
+    return changes.apply_batch(index.files, index.lines, gone.unionByName(sent), told.withColumn("line_number", F.col("line_number").cast("long")))
+
+
+@_query(
+    "m2_upsert_files",
+    f"with {_BATCH_SQL} select source, file_id, path, case when file_id in (select file_id from sent) and file_id % 2 = 0 then mtime + 3600 else mtime end as mtime, "
+    "case when file_id in (select file_id from sent) and file_id % 2 = 0 then 3 else size end::bigint as size from files where file_id not in (select file_id from gone)",
+)
+def m2_upsert_files(spark, d):
+    return _batch(spark, d)[0].select("source", "file_id", "path", "mtime", "size")
+
+
+@_query(
+    "m2_upsert_lines",
+    f"with {_BATCH_SQL}, kept as (select * from lines where file_id not in (select file_id from gone) and not (file_id in (select file_id from sent) and file_id % 2 = 0)), "
+    "told as (select source, file_id, unnest([0, 1, 2])::bigint as line_number, unnest(['[PATH] ' || path, '', 'now']) as content from sent where file_id % 2 = 0) "
+    "select source, file_id, line_number, content from kept union all select * from told",
+)
+def m2_upsert_lines(spark, d):
+    return _batch(spark, d)[1].select("source", "file_id", "line_number", "content")
+
+
+@_query(
+    "m4_rename_lines",
+    f"with {LINES_SQL} select file_id, line_number, case when starts_with(path, 'en/1/doc_1') then 'moved' || substr(path, 11) else path end as path, "
+    "case when starts_with(path, 'en/1/doc_1') and line_number = 0 then '[PATH] moved' || substr(path, 11) else content end as content from lines",
+)
+def m4_rename_lines(spark, d):
+    lines = document_index(spark, d).lines
+    old = lines.filter(F.startswith("path", F.lit("en/1/doc_1"))).select("source", F.col("path").alias("old")).distinct()
+    moves = old.withColumn("new", F.concat(F.lit("moved"), F.substring("old", 11, 1000)))
+    return changes.rename_lines(lines, moves).select("file_id", "line_number", "path", "content")
+
+
+@_query(
+    "m5_sentinels",
+    f"with {MEMBERS_SQL}, s as (select source, split_part(path, '::', 1) as path, max(file_id) as seq from members where has_error group by all) "
+    "select m.source, m.path, m.file_id as seq from members m left join s on s.source = m.source and s.path = split_part(m.path, '::', 1) where s.seq is null or m.file_id >= s.seq",
+)
+def m5_sentinels(spark, d):
+    members = archive_members(spark, d).select("source", "path", F.col("file_id").alias("seq"), "has_error")
+    sentinels = members.filter("has_error").select("source", F.substring_index("path", "::", 1).alias("path"), "seq", F.lit("upsert").alias("op"), F.lit(0).alias("mtime"))
+    return changes.without_stale_members(members.drop("has_error"), sentinels)
 
 
 @_query(

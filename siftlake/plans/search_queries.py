@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from siftlake.functions import exprs
 from siftlake.operators import search
 from siftlake.operators.search import SearchParams
-from siftlake.plans.corpus import FILES_SQL, LINES_SQL, MEMBERS_SQL, archive_members, document_files, document_index
+from siftlake.plans.corpus import ACTIVITY_SQL, FILES_SQL, LINES_SQL, MEMBERS_SQL, activity, archive_members, document_files, document_index
+from siftlake.sources.ingest import html_titles
 from siftlake.storage import read_table
 
 _HIT = ("source", "file_id", "path", "line_number", "content")
@@ -70,16 +71,35 @@ def s7_document_all_terms(spark, d):
     return hits.groupBy("source", "file_id", "path").agg(F.count(F.lit(1)).alias("matches"))
 
 
+def _bm25_sql(terms: list[str], where: str) -> str:
+    """h: lines that meet a condition, with rank."""
+    has = lambda t: f"contains(lower(content), '{t}')"
+    held = ", ".join(f"count(*) filter ({has(t)}) as d{i}" for i, t in enumerate(terms))
+    times = ", ".join(f"(length(lower(content)) - length(replace(lower(content), '{t}', ''))) / {len(t)}.0 as t{i}" for i, t in enumerate(terms))
+    parts = " ".join(
+        f"- greatest(ln((total - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * dl / mean_length))" for i in range(len(terms))
+    )
+    return (
+        f"s as (select count(*) as total, avg(greatest(length(content) - 2, 0)) as mean_length, {held} from lines), "
+        f"c as (select *, greatest(length(content) - 2, 0) as dl, {times} from lines, s where {where}), h as (select *, round(0.0 {parts}, 9) as rank from c)"
+    )
+
+
+_RANKED_TOKENS = _bm25_sql(["there", "ness"], "contains(lower(content), 'there') or contains(lower(content), 'ness')") + (
+    ", w as (select *, bool_or(contains(lower(content), 'there')) over f as has_a, bool_or(contains(lower(content), 'ness')) over f as has_b, "
+    "count(*) over f as n, row_number() over (partition by source, file_id order by rank, line_number) as turn from h window f as (partition by source, file_id)), "
+    "m as (select * from w where has_a and has_b)"
+)
+
+
 @_query(
     "s7_document_lines_top20",
-    f"with {LINES_SQL}, t as (select *, {_TOKENS} from lines), w as (select *, bool_or(a) over f as has_a, bool_or(b) over f as has_b, "
-    "count(*) filter (a or b) over f as n from t window f as (partition by source, file_id)) "
-    "select source, file_id, line_number, content, n > 20 as hits_truncated from w where has_a and has_b and (a or b) "
-    "qualify row_number() over (partition by source, file_id order by line_number) <= 20",
+    f"with {LINES_SQL}, {_RANKED_TOKENS}, o as (select source, file_id from m where turn = 1 order by rank, source, file_id limit 60) "
+    "select source, file_id, line_number, content, turn, round(rank, 6) as rank, n > 20 as hits_truncated from m join o using (source, file_id) where turn <= 20",
 )
 def s7_document_lines_top20(spark, d):
-    hits = search.document_lines(document_index(spark, d), SearchParams("there ness", mode="document"))
-    return hits.select("source", "file_id", "line_number", "content", "hits_truncated")
+    hits = search.document_lines(document_index(spark, d), SearchParams("there ness", mode="document"), max_files=60)
+    return hits.select("source", "file_id", "line_number", "content", F.col("turn").cast("long").alias("turn"), F.round("rank", 6).alias("rank"), "hits_truncated")
 
 
 @_query(
@@ -105,62 +125,75 @@ def s9_doc_regex(spark, d):
 
 @_query(
     "s12_duplicates",
-    f"with {FILES_SQL} select a.source, a.file_id, string_agg(b.path, '|' order by b.path) as duplicates "
-    "from files a join files b on a.file_hash = b.file_hash and a.file_id <> b.file_id group by a.source, a.file_id",
+    f"with {FILES_SQL} select source, file_id, path, file_hash, count(*) over (partition by file_hash) - 1 as duplicates from files qualify duplicates > 0",
 )
 def s12_duplicates(spark, d):
-    found = search.duplicate_paths(document_index(spark, d).files)
-    return found.select("source", "file_id", F.array_join("duplicate_paths", "|").alias("duplicates"))
+    return search.duplicate_members(document_index(spark, d).files).select("source", "file_id", "path", "file_hash", "duplicates")
 
 
 @_query(
     "s12_hits_with_duplicates",
-    f"with {LINES_SQL}, h as (select source, file_id, line_number, file_hash from lines where line_number = 0 and contains(lower(content), 'doc_1')) "
-    "select h.source, h.file_id, coalesce((select string_agg(f.path, '|' order by f.path) from files f where f.file_hash = h.file_hash and f.file_id <> h.file_id), '') as duplicates from h",
+    f"with {LINES_SQL}, h as (select source, file_id, line_number, file_hash from lines where line_number = 0 and contains(lower(content), 'doc_1') order by source, file_id limit 500) "
+    "select h.source, h.file_id, coalesce((select string_agg(f.path, '|' order by f.path) from files f where f.file_hash = h.file_hash and (f.file_id <> h.file_id or f.source <> h.source)), '') as duplicates from h",
 )
 def s12_hits_with_duplicates(spark, d):
     index = document_index(spark, d)
-    hits = search.candidates(index, SearchParams("doc_1", mode="file-exact"))
-    found = search.with_duplicates(hits, index.files)
-    return found.select("source", "file_id", F.array_join("duplicate_paths", "|").alias("duplicates"))
+    page = search.search_page(index, SearchParams("doc_1", mode="file-exact", limit=500))
+    return search.with_duplicates(page, index.files).select("source", "file_id", F.array_join("duplicate_paths", "|").alias("duplicates"))
 
 
-@_query(
-    "d8_dup_groups",
-    f"with {FILES_SQL} select file_hash, count(*) as files, string_agg(path, '|' order by path) as paths from files group by file_hash having count(*) > 1",
-)
+@_query("d8_dup_groups", f"with {FILES_SQL} select file_hash, count(*) as files, min(path) as path from files group by file_hash having count(*) > 1")
 def d8_dup_groups(spark, d):
-    groups = document_files(spark, d).groupBy("file_hash").agg(F.count(F.lit(1)).alias("files"), F.array_join(F.sort_array(F.collect_list("path")), "|").alias("paths"))
-    return groups.filter("files > 1")
+    return search.duplicate_groups(document_files(spark, d))
 
 
 @_query("a7_singletons", f"with {FILES_SQL} select file_hash, min(path) as path from files group by file_hash having count(*) = 1")
 def a7_singletons(spark, d):
-    groups = document_files(spark, d).groupBy("file_hash").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
-    return groups.filter("n = 1").drop("n")
+    return search.singletons(document_files(spark, d))
+
+
+@_query("a8_capped_count", f"with {LINES_SQL} select least(count(*), 2000) as total from lines where contains(lower(content), 'the')")
+def a8_capped_count(spark, d):
+    return search.capped_total(document_index(spark, d), SearchParams("the", mode="exact"))
+
+
+@_query(
+    "a9_extra_matches",
+    f"with {LINES_SQL}, h as (select *, row_number() over (partition by source, file_id order by line_number) as turn from lines where contains(lower(content), 'of the')) "
+    "select source, file_id, line_number, content from h where turn > 1 and line_number > 0",
+)
+def a9_extra_matches(spark, d):
+    hits = search.candidates(document_index(spark, d), SearchParams("of the", mode="doc-exact"))
+    return search.extra_matches(hits).select("source", "file_id", "line_number", "content")
 
 
 @_query(
     "t1_bm25_top",
-    f"with {LINES_SQL}, s as (select count(*) as total, avg(greatest(length(content) - 2, 0)) as mean_length, "
-    "count(*) filter (contains(lower(content), 'then')) as d0, count(*) filter (contains(lower(content), 'ing')) as d1 from lines), "
-    "h as (select *, greatest(length(content) - 2, 0) as dl, (length(lower(content)) - length(replace(lower(content), 'then', ''))) / 4.0 as t0, "
-    f"(length(lower(content)) - length(replace(lower(content), 'ing', ''))) / 3.0 as t1 from lines, s where {_THEN_ING}) "
-    "select source, file_id, line_number, round(-greatest(ln((total - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / mean_length)) "
-    "- greatest(ln((total - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / mean_length)), 6) as rank from h",
+    f"with {LINES_SQL}, {_bm25_sql(['then', 'ing'], _THEN_ING)} select source, file_id, line_number, round(rank, 6) as rank from h order by h.rank, source, file_id, line_number limit 200",
 )
 def t1_bm25_top(spark, d):
-    found = search.ranked_lines(document_index(spark, d), SearchParams("then ing"))
+    found = search.ranked_lines(document_index(spark, d), SearchParams("then ing", limit=200))
     return found.select("source", "file_id", "line_number", F.round("rank", 6).alias("rank"))
 
 
 @_query(
     "w1_best_line_per_file",
-    f"with {LINES_SQL} select source, file_id, line_number from lines where {_THEN_ING} qualify row_number() over (partition by source, file_id order by line_number) = 1 order by file_id limit 40",
+    f"with {LINES_SQL}, {_RANKED_TOKENS} select source, file_id, line_number, round(rank, 6) as rank from m where turn = 1 order by m.rank, source, file_id limit 40",
 )
 def w1_best_line_per_file(spark, d):
-    hits = search.candidates(document_index(spark, d), SearchParams("then ing"))
-    return hits.groupBy("source", "file_id").agg(F.min("line_number").alias("line_number")).orderBy("file_id").limit(40)
+    found = search.best_lines(document_index(spark, d), SearchParams("there ness", mode="document", limit=40))
+    return found.select("source", "file_id", "line_number", F.round("rank", 6).alias("rank"))
+
+
+@_query(
+    "w5_merged_pages",
+    f"with {LINES_SQL}, h as (select *, row_number() over (order by source, file_id, line_number) as n from lines where contains(lower(content), 'of the')) "
+    "select source, path, line_number from h where n <= 80",
+)
+def w5_merged_pages(spark, d):
+    index = document_index(spark, d)
+    first, second = (search.search_page(index, SearchParams("of the", mode="exact", offset=o, limit=50)) for o in (0, 30))
+    return search.merge_page(first, second).select("source", "path", "line_number")
 
 
 @_query(
@@ -178,13 +211,56 @@ def a14_total_capped(spark, d):
     return search.search_total(document_index(spark, d), SearchParams("of the", mode="exact"))
 
 
-@_query("s14_fuzzy")
+def _score_sql(rows: str, text: str, query: str) -> str:
+    """scored: rows with score, the best alignment of every atom of query in a text column; null if an atom has none.
+
+    dp goes over an atom's characters; matched has, for each place, the best alignment that ends there, carried the
+    best one that ends before it.
+    """
+    atoms = ", ".join(f"({n}, '{a}')" for n, a in enumerate(query.lower().split()))
+    low = "-1000000000000000"
+    new = (
+        f"list_transform(range(1, n + 1), lambda j: case when ch[j] = atom[i + 1] then greatest(carried[j] + 16 + bonus[j], "
+        f"case when i > 0 and j > 1 then matched[j - 1] + 16 + greatest(6, bonus[j]) else {low} end) else {low} end)"
+    )
+    gap = f"list_transform(range(1, n + 1), lambda j: coalesce(list_max(list_transform(range(1, j), lambda k: new[k] - 3 - (j - 1 - k))), {low}))"
+    zeros = "list_transform(range(1, n + 1), lambda j: 0::bigint)"
+    return (
+        f"r as (select *, row_number() over () as rid, lower({text}) as t from {rows}), atoms(a, atom) as (values {atoms}), "
+        "ch as (select rid, len(t) as n, string_split(t, '') as ch from r where len(t) > 0), "
+        "cb as (select *, list_transform(range(1, n + 1), lambda j: case when j = 1 then 10 when regexp_matches(ch[j - 1], '[\\p{L}\\p{N}]') then 0 else 8 end) as bonus from ch), "
+        f"dp as (select rid, a, atom, 0 as i, n, ch, bonus, {zeros} as matched, {zeros} as carried from cb, atoms "
+        f"union all select rid, a, atom, i + 1, n, ch, bonus, new, {gap} from (select *, {new} as new from dp where i < len(atom))), "
+        "best as (select rid, a, list_max(matched) as best from dp where i = len(atom)), "
+        "total as (select rid, case when min(best) > -1000000000 then sum(best)::int end as score from best group by rid), "
+        "scored as (select r.*, total.score from r left join total using (rid))"
+    )
+
+
+@_query(
+    "s14_fuzzy",
+    f"with recursive {LINES_SQL}, c as (select * from lines where line_number = 0 and contains(lower(content), 'doc') and contains(lower(content), 'txt')), "
+    f"{_score_sql('c', 'path', 'doc txt')} select source, file_id, path, score from scored where score is not null",
+)
 def s14_fuzzy(spark, d):
     page = search.search_hits(document_index(spark, d), SearchParams("doc txt", mode="file-fuzzy"))
     return page.select("source", "file_id", "path", "score")
 
 
-@_query("s7_document_scored")
+@_query(
+    "s1_scored_page",
+    f"with recursive {LINES_SQL}, c as (select * from lines where contains(lower(content), 'doc') and contains(lower(content), 'txt')), "
+    f"{_score_sql('c', 'path', 'doc txt')} select source, file_id, line_number, coalesce(score, 1) as score from scored order by coalesce(score, 1) desc, source, file_id, line_number limit 50",
+)
+def s1_scored_page(spark, d):
+    return search.search_page(document_index(spark, d), SearchParams("doc txt")).select("source", "file_id", "line_number", "score")
+
+
+@_query(
+    "s7_document_scored",
+    f"with recursive {LINES_SQL}, {_RANKED_TOKENS}, picked as (select * from m where turn <= 20), {_score_sql('picked', 'content', 'there ness')} "
+    "select source, file_id, line_number, coalesce(score, 1) as score from scored order by coalesce(score, 1) desc, source, file_id, line_number limit 50",
+)
 def s7_document_scored(spark, d):
     return search.search_page(document_index(spark, d), SearchParams("there ness", mode="document")).select("source", "file_id", "line_number", "score")
 
@@ -239,26 +315,72 @@ def x32_lines(spark, d):
     return read_table(spark, d, "documents").select("doc_id", F.explode(exprs.split_lines(F.col("text"))).alias("line"))
 
 
-@_query("x9_hash", "select doc_id, case when length(text) > 0 then sha256(text || 'v') end as hash from documents")
-def x9_hash(spark, d):
-    version = int.from_bytes(b"v", "little")
-    salted = F.when(F.length("text") > 0, F.sha2(F.concat(F.col("text"), F.lit(chr(version))), 256))
-    return read_table(spark, d, "documents").select("doc_id", salted.alias("hash"))
-
-
-@_query("x9_content_hash")
+@_query("x9_content_hash", "select doc_id, case when length(text) > 0 then sha256(encode(text) || '\\x08\\x00\\x00\\x00'::blob) end as hash from documents")
 def x9_content_hash(spark, d):
     return read_table(spark, d, "documents").select("doc_id", exprs.content_hash(F.col("text"), 8).alias("hash"))
 
 
-@_query("x28_truncate_error", "select doc_id, case when length(text) > 500 then substr(text, 1, 500) || '…' else text end as error from documents")
+@_query(
+    "x28_truncate_error",
+    "select doc_id, case when strlen(text) > 500 then substr(text, 1, list_max(list_filter(range(0, 501), lambda n: strlen(substr(text, 1, n)) <= 500))) || '…' else text end as error from documents",
+)
 def x28_truncate_error(spark, d):
     return read_table(spark, d, "documents").select("doc_id", exprs.truncate_error(F.col("text")).alias("error"))
 
 
-@_query("e4_html_title", "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages")
+@_query(
+    "x17_image_dimensions",
+    "select doc_id, case when doc_id % 5 = 3 then doc_id % 7 + 20 when doc_id % 5 = 2 then doc_id % 7 + 30 when doc_id % 5 = 1 then doc_id + 1 end as width, "
+    "case when doc_id % 5 = 3 then 4 when doc_id % 5 = 2 then doc_id + 2 when doc_id % 5 = 1 then 9 end as height from documents",
+)
+def x17_image_dimensions(spark, d):
+    i, text = F.col("doc_id"), lambda c: c.cast("string")
+    header = F.concat(F.lit("[IMAGE:dimensions] "), text(i + 1), F.lit("x9 px"))
+    size = F.concat(F.lit("[EXIF:ImageWidth] "), text(i % 7 + 30), F.lit(" [EXIF:ImageLength] "), text(i + 2))
+    pixel = F.concat(F.lit("[EXIF:PixelXDimension] "), text(i % 7 + 20), F.lit(" [EXIF:PixelYDimension] 4"))
+    kind = i % 5
+    tags = F.when(kind == 0, F.lit("[IMAGE:format] PNG")).when(kind == 1, header).when(kind == 2, F.concat(size, F.lit(" "), header))
+    tags = tags.when(kind == 3, F.concat(size, F.lit(" "), header, F.lit(" "), pixel)).otherwise(F.lit(""))
+    found = exprs.image_dimensions(exprs.meta_tags(tags))
+    return read_table(spark, d, "documents").select("doc_id", *[found[c].cast("long").alias(c) for c in ("width", "height")])
+
+
+@_query(
+    "x27_force_timestamp",
+    "select event_id, 0 as form, epoch(date_trunc('day', ts))::bigint as at from events union all select event_id, 1, epoch(date_trunc('second', ts))::bigint from events "
+    "union all select event_id, 2, epoch(date_trunc('second', ts))::bigint from events union all select event_id, 3, event_id from events union all select event_id, 4, null from events",
+)
+def x27_force_timestamp(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    forms = [F.date_format(ts, f) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")] + [F.col("event_id").cast("string"), F.lit("13/02/2026")]
+    rows = read_table(spark, d, "events").select("event_id", F.posexplode(F.array(*forms)).alias("form", "text"))
+    return rows.select("event_id", "form", exprs.force_timestamp(F.col("text")).alias("at"))
+
+
+@_query(
+    "x33_event_below",
+    f"with {ACTIVITY_SQL} select seq, starts_with(path, 'u1') or coalesce(starts_with(new_path, 'u1'), false) as below from activity",
+)
+def x33_event_below(spark, d):
+    return activity(spark, d).select("seq", exprs.event_below(F.col("path"), F.col("new_path"), "u1").alias("below"))
+
+
+@_query("x5_kinds", """with k(ext, kind) as (values ('EXE', 'binary'), ('ttf', 'binary'), ('sqlite3', 'binary'), ('rs', 'code'), ('Md', 'text'), ('dcm', 'dicom'), ('flac', 'audio'), ('odd', 'unknown'))
+select doc_id, ext, kind from documents, k""")
+def x5_kinds(spark, d):
+    exts = F.array(*[F.lit(e) for e in ("EXE", "ttf", "sqlite3", "rs", "Md", "dcm", "flac", "odd")])
+    rows = read_table(spark, d, "documents").select("doc_id", F.explode(exts).alias("ext"))
+    return rows.withColumn("kind", exprs.kind_of_extension(F.lower("ext")))
+
+
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+for _entity, _plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_entity}', '{_plain}')"
+
+
+@_query("e4_html_title", f"select page_id, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) as title from pages")
 def e4_html_title(spark, d):
-    return read_table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return html_titles(read_table(spark, d, "pages")).select("page_id", "title")
 
 
 @_query(

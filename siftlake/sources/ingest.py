@@ -9,13 +9,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftlake.functions import exprs
 from siftlake.functions.query import glob_to_regex, include_prefixes
 from siftlake.functions.text import MAX_LINE
 from siftlake.schemas import SCANNER_VERSION
 from siftlake.sources import archives
-from siftlake.sources.extract import extract
+from siftlake.sources.extract import extract, html_text
 from siftlake.storage import ship_package
 
 LINE_ROWS = "path string, mtime bigint, size bigint, line_number bigint, content string, error string"
@@ -109,3 +110,18 @@ def file_rows(lines: DataFrame, source: str) -> DataFrame:
         F.lit(source).alias("source"), F.xxhash64(F.lit(source), "path").alias("file_id"), "path", "mtime", "size", refined.alias("kind"),
         F.lit(SCANNER_VERSION).alias("scanner_version"), "line_count",
     )
+
+
+def html_titles(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with title and text: what the HTML extractor finds in a column. A null page has neither."""
+    ship_package(pages.sparkSession)
+    at, schema = pages.columns.index(html), T.StructType([*pages.schema.fields, T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if page is None else html_text(page) for page in batch.column(at).to_pylist()]
+            titles = [None if x is None else dict(x.tags).get("HTML:title", "") for x in found]
+            texts = [None if x is None else "\n".join(x.lines) for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(titles, pa.string()), pa.array(texts, pa.string())], names=[*batch.schema.names, "title", "text"])
+
+    return pages.mapInArrow(run, schema)

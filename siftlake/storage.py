@@ -3,33 +3,63 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders of sessions that name none, by application.
 _own: dict[str, str] = {}
+#: Applications that have this package's archive.
+_shipped: set[str] = set()
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset and Spark runs in
+    this process alone. On a cluster it has to be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not _one_process(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="siftlake-")
         _own[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
+def _one_process(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if PACKAGE_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+    """Let Python workers import this package: from where the driver has it if they run beside it, else from an archive that
+    Spark sends to each executor."""
+    context = spark.sparkContext
+    if _one_process(spark):
+        paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if PACKAGE_ROOT not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+    elif context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = os.path.dirname(os.path.abspath(__file__))
+        name = f"siftlake-{uuid.uuid4().hex}.zip"
+        target = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        files = target.getFileSystem(context._jsc.hadoopConfiguration())
+        with tempfile.TemporaryDirectory(prefix="siftlake-") as folder:
+            archive = os.path.join(folder, name)
+            with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+                for at, _, names in os.walk(package):
+                    for file in names:
+                        if file.endswith(".py"):
+                            path = os.path.join(at, file)
+                            out.write(path, os.path.relpath(path, os.path.dirname(package)))
+            files.copyFromLocalFile(context._jvm.org.apache.hadoop.fs.Path(f"file://{archive}"), target)
+        files.deleteOnExit(target)
+        context.addPyFile(target.toString())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +94,16 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        files, path = self._files(self.path(name))
-        files.delete(path, True)
+    def names(self) -> list[str]:
+        """The tables that there are."""
+        files, path = self._files(self.root)
+        return [f.getPath().getName() for f in files.listStatus(path)]
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            files, path = self._files(self.path(name))
+            files.delete(path, True)
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 20_000) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siftlake.functions import exprs
+from siftlake.operators.browse import recent_activity
+from siftlake.operators.changes import apply_batch, sequence
+
 BATCH = (
     "source string, scan_timestamp bigint, delete_paths array<string>, rename_paths array<struct<old_path: string, new_path: string>>, "
     "indexing_failures array<struct<path: string, error: string>>, "
@@ -20,38 +24,64 @@ BATCH = (
 def read_batches(spark: SparkSession, landing: str, files_per_trigger: int = 32) -> DataFrame:
     """Change batches (JSON, one object a line, gzip or plain) as they land; undecodable ones keep their text in _corrupt_record."""
     reader = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.option("columnNameOfCorruptRecord", "_corrupt_record").json(landing)
+    rows = reader.option("columnNameOfCorruptRecord", "_corrupt_record").json(landing)
+    return rows.select("*", F.col("_metadata.file_path").alias("request"))
 
 
 def changes_of(batches: DataFrame) -> DataFrame:
-    """One row per change of each batch: source, op, ordinal, path, new_path, mtime, size, kind, force, error, ts."""
+    """One row per change of each batch: request, source, ts, ordinal, op, path, new_path, mtime, size, kind, file_hash, is_new, force, error.
+
+    A file that was indexed clears its errors, so an upsert gives a clear_error row too; a batch with a time of its
+    own gives a scan row.
+    """
     empty = F.lit(None)
-    row = lambda op, item, **c: F.struct(
-        F.lit(op).alias("op"), c.get("path", item).cast("string").alias("path"), c.get("new_path", empty).cast("string").alias("new_path"),
-        c.get("mtime", empty).cast("bigint").alias("mtime"), c.get("size", empty).cast("bigint").alias("size"), c.get("kind", empty).cast("string").alias("kind"),
-        c.get("force", F.lit(False)).cast("boolean").alias("force"), c.get("error", empty).cast("string").alias("error"),
+    row = lambda op, path, **c: F.struct(
+        F.lit(op).alias("op"), path.cast("string").alias("path"),
+        *[c.get(k, F.lit(False) if t == "boolean" else empty).cast(t).alias(k) for k, t in (
+            ("new_path", "string"), ("mtime", "bigint"), ("size", "bigint"), ("kind", "string"), ("file_hash", "string"), ("is_new", "boolean"), ("force", "boolean"), ("error", "string"))],
     )
+    flag = lambda c: F.coalesce(c, F.lit(False))
     parts = [
         F.transform("delete_paths", lambda p: row("delete", p)),
         F.transform("rename_paths", lambda r: row("rename", r["old_path"], new_path=r["new_path"])),
-        F.transform("files", lambda f: row("upsert", f["path"], mtime=f["mtime"], size=f["size"], kind=f["kind"], force=F.coalesce(f["force"], F.lit(False)))),
-        F.transform("indexing_failures", lambda f: row("error", f["path"], error=f["error"])),
-    ]
-    all_rows = F.concat(*[F.coalesce(p, F.filter(F.array(row("", F.lit(""))), lambda _: F.lit(False))) for p in parts])
+        F.transform("files", lambda f: row(
+            "upsert", f["path"], mtime=f["mtime"], size=f["size"], kind=f["kind"], file_hash=f["file_hash"], is_new=flag(f["is_new"]), force=flag(f["force"]))),
+        F.transform("files", lambda f: row("clear_error", f["path"])),
+        F.transform("indexing_failures", lambda f: row("error", f["path"], error=exprs.truncate_error(f["error"]))),
+        F.filter(F.array(row("scan", F.lit(""))), lambda _: F.col("scan_timestamp").isNotNull()),
+    ]
+    none = F.filter(F.array(row("", F.lit(""))), lambda _: F.lit(False))
+    all_rows = F.concat(*[F.coalesce(p, none) for p in parts])
     good = batches.filter("_corrupt_record is null")
-    return good.select("source", F.col("scan_timestamp").alias("ts"), F.posexplode(all_rows).alias("ordinal", "change")).select("source", "ts", "ordinal", "change.*")
+    return good.select("request", "source", F.col("scan_timestamp").alias("ts"), F.posexplode(all_rows).alias("ordinal", "change")).select(
+        "request", "source", "ts", "ordinal", "change.*"
+    )
+
+
+def lines_of(batches: DataFrame) -> DataFrame:
+    """The lines of each batch's files: request, source, path (with the archive member), line_number, content."""
+    files = batches.filter("_corrupt_record is null").select("request", "source", F.explode("files").alias("f"))
+    rows = files.select("request", "source", "f.path", F.explode("f.lines").alias("x"))
+    path = F.when(F.coalesce("x.archive_path", F.lit("")) == "", F.col("path")).otherwise(exprs.join_composite(F.col("path"), F.col("x.archive_path")))
+    return rows.select("request", "source", path.alias("path"), "x.line_number", "x.content")
+
+
+def numbered(rows: DataFrame, batch_id: int) -> DataFrame:
+    """Changes with seq, their order over all batches (see `changes.sequence`). A batch holds a bounded number of requests."""
+    turn = F.row_number().over(Window.orderBy("request", "ordinal")).cast("long")
+    return rows.withColumn("seq", sequence(F.lit(batch_id).cast("long"), F.col("op"), turn)).drop("ordinal")
 
 
 def append_changes(batches: DataFrame, log: str, quarantine: str, checkpoint: str):
-    """Start a query that appends changes to a log, partitioned by source and batch, and undecodable input to a quarantine.
+    """Start a query that appends to a log folder: changes and lines, by batch, and undecodable input to a quarantine.
 
-    A batch that is run again after a failure overwrites its own folder, so each change is in the log once.
+    A batch that is run again after a failure overwrites its own folders, so each change is in the log once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        rows = changes_of(batch).withColumn("seq", F.lit(batch_id).cast("bigint") * 1_000_000_000_000 + F.monotonically_increasing_id() % 1_000_000_000_000)
-        rows.write.mode("overwrite").partitionBy("source").parquet(f"{log}/batch={batch_id}")
+        numbered(changes_of(batch), batch_id).write.mode("overwrite").parquet(f"{log}/changes/batch={batch_id}")
+        lines_of(batch).drop("request").write.mode("overwrite").parquet(f"{log}/lines/batch={batch_id}")
         bad = batch.filter("_corrupt_record is not null").select("_corrupt_record")
         bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
         batch.unpersist()
@@ -59,6 +89,30 @@ def append_changes(batches: DataFrame, log: str, quarantine: str, checkpoint: st
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def replay(files: DataFrame, lines: DataFrame, log: str, batch_ids: list[int]) -> tuple[DataFrame, DataFrame]:
+    """files and lines of an index after the log's batches, in order."""
+    spark = files.sparkSession
+    for n in sorted(batch_ids):
+        changed, told = (spark.read.parquet(f"{log}/{part}/batch={n}") for part in ("changes", "lines"))
+        files, lines = apply_batch(files, lines, changed, told)
+    return files, lines
+
+
+def recent_then_live(spark: SparkSession, path: str, schema: str, newest: int = 20) -> tuple[DataFrame, DataFrame]:
+    """An activity table's newest rows, oldest first, and the stream of the rows after them."""
+    table = spark.read.schema(schema).parquet(path)
+    last = table.agg(F.max("seq")).first()[0]
+    recent = recent_activity(table, newest).orderBy("occurred_at", "seq")
+    live = activity_stream(spark, path, schema)
+    return recent.filter(F.col("seq") <= (last or 0)), live if last is None else live.filter(F.col("seq") > last)
+
+
+def start_stats(activity: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, rate_hz: float = 1.0):
+    """Start the running statistics of an activity stream: sink gets the whole table after a change, rate_hz times a second at most."""
+    writer = running_stats(activity).writeStream.outputMode("complete").foreachBatch(sink)
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, round(1000 / rate_hz))} milliseconds").start()
+
+
 def activity_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows appended to an activity table."""
     return spark.readStream.schema(schema).parquet(path)
@@ -75,10 +129,11 @@ def collapse_kinds(kinds: list[str]) -> str:
     return "C" if kinds[-1] == "U" and before == "C" else kinds[-1]
 
 
-def debounced(events: DataFrame, seconds: int = 5, most: int = 200) -> DataFrame:
+def debounced(events: DataFrame, seconds: int = 5, most: int = 200, late: str = "30 seconds") -> DataFrame:
     """Collapsed events of a stream (path, kind, seq, ts as timestamp): path, kind, events.
 
-    A path's window opens at its first event and closes `seconds` later by event time, or at `most` events.
+    A path's window opens at its first event and closes `seconds` later by event time, or at `most` events. Events
+    that are later than `late` behind the newest one are dropped by the watermark.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -101,7 +156,7 @@ def debounced(events: DataFrame, seconds: int = 5, most: int = 200) -> DataFrame
         elif state.exists:
             state.remove()
 
-    return events.withWatermark("ts", "0 seconds").groupBy("path").applyInPandasWithState(
+    return events.withWatermark("ts", late).groupBy("path").applyInPandasWithState(
         run, "path string, kind string, events int", "kinds array<string>, first bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def collapse(events: DataFrame, *keys: str) -> DataFrame:
@@ -18,9 +22,40 @@ def collapse(events: DataFrame, *keys: str) -> DataFrame:
     return merged.select(*keys, kind.alias("kind"))
 
 
-def debounce_windows(events: DataFrame, seconds: int = 5) -> DataFrame:
-    """events with window_start. Batch form: fixed windows; the stream's windows open at a first event."""
-    return events.withColumn("window_start", F.col("ts") - F.col("ts") % seconds)
+def anchored_windows(events: DataFrame, *keys: str, seconds: int, most: int | None = None, path: str | None = None) -> DataFrame:
+    """events (keys, ts, seq) with window_start and turn (from 1): a key's window opens at an event and holds those less
+    than `seconds` after it; the next event opens the next one. With most, a window also ends at so many events, or
+    at so many different values of path.
+
+    Where a window opens depends on all windows before it, so a key's events are folded in order, in a stream over
+    sorted rows: state is one window, whatever the number of a key's events.
+    """
+    ordered = events.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq")
+    schema = T.StructType([*events.schema.fields, T.StructField("window_start", T.LongType()), T.StructField("turn", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, turn, seen = None, None, 0, set()
+        for batch in batches:
+            starts, turns = [], []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*keys, "ts", *([path] if path else []))]
+            for *own, at, place in zip(*columns, strict=True) if path else zip(*columns, columns[0], strict=True):
+                full = most is not None and (len(seen) if path else turn) >= most
+                if own != key or at - start >= seconds or full:
+                    key, start, turn = own, at, 0
+                    seen.clear()
+                turn += 1
+                if path:
+                    seen.add(place)
+                starts.append(start)
+                turns.append(turn)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64()), pa.array(turns, pa.int64())], names=[*batch.schema.names, "window_start", "turn"])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def debounce_windows(events: DataFrame, *keys: str, seconds: int = 5, most: int = 200, path: str = "path") -> DataFrame:
+    """events with window_start: a window opens at the first event and ends `seconds` later or at `most` pending paths."""
+    return anchored_windows(events, *keys, seconds=seconds, most=most, path=path).drop("turn")
 
 
 def rename_pairs(events: DataFrame, *group: str) -> DataFrame:
@@ -32,10 +67,18 @@ def rename_pairs(events: DataFrame, *group: str) -> DataFrame:
 
 
 def rate_limited(requests: DataFrame, key: str, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """requests (key, ts) with allowed. Batch form: windows of fixed places."""
-    slot = F.col("ts") - F.col("ts") % seconds
-    turn = F.row_number().over(Window.partitionBy(key, slot).orderBy("ts", "seq"))
-    return requests.withColumn("allowed", turn <= limit)
+    """requests (key, ts, seq) with allowed: the first `limit` of each window, which opens at a request."""
+    return anchored_windows(requests, key, seconds=seconds).withColumn("allowed", F.col("turn") <= limit).drop("turn", "window_start")
+
+
+def refresh_wait(last: int, now: int, interval: int) -> int:
+    """Milliseconds until the next refresh, of which there is one an interval at most, however many events arrive."""
+    return max(0, interval - (now - last))
+
+
+def due(last_run: int | None, now: int, every: int) -> bool:
+    """Whether a periodic job runs now; jobs run by a scheduler with the availableNow trigger and do not overlap."""
+    return last_run is None or now - last_run >= every
 
 
 def longest_root(events: DataFrame, roots: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from siftlake.functions import exprs
 from siftlake.operators import browse, changes, content, stats
-from siftlake.operators.search import SearchParams, search_hits, search_page, with_duplicates
-from siftlake.plans.corpus import index_of
+from siftlake.operators.search import SearchParams, best_lines, centred_window, clamp_window, document_lines, next_offset, search_hits, search_page, with_duplicates
+from siftlake.plans.corpus import Index, index_of
 from siftlake.sources import ingest
-from siftlake.streaming import live
+from siftlake.streaming import live, windows
 
 FILES = "source string, file_id long, path string, kind string, mtime long, size long, file_hash string, text string"
 
@@ -130,14 +130,26 @@ def test_ingest(spark, tmp_path):
 def test_landing_stream(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
-    batch = {"source": "s", "scan_timestamp": 5, "delete_paths": ["d"], "rename_paths": [{"old_path": "o", "new_path": "n"}], "indexing_failures": [{"path": "f", "error": "e"}], "files": [{"path": "p", "mtime": 1, "size": 2, "kind": "text", "lines": []}]}
+    batch = {"source": "s", "scan_timestamp": 5, "delete_paths": ["d"], "rename_paths": [{"old_path": "o", "new_path": "n"}], "indexing_failures": [{"path": "f", "error": "e"}], "files": [{"path": "p", "mtime": 1, "size": 2, "kind": "text", "lines": [{"line_number": 0, "content": "[PATH] p"}, {"line_number": 2, "content": "now alpha"}, {"archive_path": "m", "line_number": 0, "content": "[PATH] p::m"}]}]}
     (landing / "one.json").write_text(json.dumps(batch) + "\n")
     (landing / "two.json").write_text("{broken\n")
     where = [str(tmp_path / x) for x in ("log", "bad", "check")]
     for _ in range(2):
         live.append_changes(live.read_batches(spark, str(landing)), *where).awaitTermination(120)
-    rows = spark.read.parquet(where[0]).orderBy("seq").collect()
-    assert [(r.op, r.path, r.new_path) for r in rows] == [("delete", "d", None), ("rename", "o", "n"), ("upsert", "p", None), ("error", "f", None)]
+    log = spark.read.parquet(f"{where[0]}/changes")
+    rows = log.orderBy("seq").collect()
+    assert [(r.op, r.path, r.new_path) for r in rows] == [("delete", "d", None), ("rename", "o", "n"), ("upsert", "p", None), ("clear_error", "p", None), ("error", "f", None), ("scan", "", None)]
+    told = spark.read.parquet(f"{where[0]}/lines")
+    assert sorted((r.path, r.line_number) for r in told.collect()) == [("p", 0), ("p", 2), ("p::m", 0)]
+    failed, cleared = (log.filter(F.col("op") == op).select("source", "path", "seq", "ts", "error") for op in ("error", "clear_error"))
+    assert [r.path for r in stats.errors(failed, cleared.select("source", "path", "seq")).collect()] == ["f"]
+    old = [("s", 1, "p", "text", 0, 1, "h", "gone line"), ("s", 2, "o", "text", 5, 1, "g", "alpha moves"), ("s", 3, "d", "text", 5, 1, None, "alpha dies")]
+    before = index_of(spark.createDataFrame(old, FILES))
+    files, lines = live.replay(before.files, before.lines, where[0], [0])
+    assert sorted((r.file_id, r.path, r.mtime) for r in files.collect()) == [(1, "p", 1), (2, "n", 5)]
+    after = Index(files, lines, before.texts)
+    assert sorted((r.path, r.snippet) for r in search_hits(after, SearchParams("alpha", mode="exact")).collect()) == [("n", "alpha moves"), ("p", "now alpha")]
+    assert [r.snippet for r in search_hits(after, SearchParams("[PATH] n", mode="file-exact")).collect()] == ["n"]
     assert [r[0] for r in spark.read.parquet(where[1]).select("_corrupt_record").collect()] == ["{broken"]
 
 
@@ -149,6 +161,43 @@ def test_rate_limit_stream(spark, tmp_path):
     assert [r.allowed for r in spark.table("limited").orderBy("seq").collect()] == [True, True, True, False, True]
 
 
+def test_anchored_windows(spark):
+    times = [("a", 0), ("a", 4), ("a", 5), ("a", 9), ("a", 30), ("b", 3), ("b", 8), (None, 1), (None, 2)]
+    events = spark.createDataFrame([(k, t, i, f"p{i % 2}") for i, (k, t) in enumerate(times)], "key string, ts long, seq long, path string")
+    got = {r.seq: (r.window_start, r.turn) for r in windows.anchored_windows(events, "key", seconds=5).collect()}
+    assert got == {0: (0, 1), 1: (0, 2), 2: (5, 1), 3: (5, 2), 4: (30, 1), 5: (3, 1), 6: (8, 1), 7: (1, 1), 8: (1, 2)}
+    full = {r.seq: r.window_start for r in windows.debounce_windows(events, "key", seconds=100, most=2).collect()}
+    assert full == {0: 0, 1: 0, 2: 5, 3: 5, 4: 30, 5: 3, 6: 3, 7: 1, 8: 1}
+    allowed = windows.rate_limited(events, "key", limit=1, seconds=5)
+    assert sorted(r.seq for r in allowed.filter("not allowed").collect()) == [1, 3, 8]
+
+
+def test_recent_rows_and_the_stream_after_them(spark, tmp_path):
+    path, schema = str(tmp_path / "activity"), "source string, seq long, occurred_at long, action string, path string, new_path string"
+    row = lambda n: ("s", n, 100 + n, "added", f"p{n}", None)
+    spark.createDataFrame([row(n) for n in range(5)], schema).coalesce(1).write.parquet(path)
+    recent, stream = live.recent_then_live(spark, path, schema, newest=3)
+    assert [r.seq for r in recent.collect()] == [2, 3, 4]
+    spark.createDataFrame([row(n) for n in (5, 6)], schema).coalesce(1).write.mode("append").parquet(path)
+    query = stream.writeStream.format("memory").queryName("after").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(r.seq for r in spark.table("after").collect()) == [5, 6]
+
+
+def test_ranked_documents(index):
+    hits = document_lines(index, SearchParams("alpha beta", mode="document"), per_file=2).orderBy("turn").collect()
+    assert [(r.file_id, r.line_number, r.turn, r.hits_truncated) for r in hits][0][:2] == (1, 4) and len(hits) == 2 and all(r.hits_truncated for r in hits)
+    assert best_lines(index, SearchParams("alpha beta", mode="document")).collect()[0].line_number == 4
+    assert document_lines(index, SearchParams("a b", mode="document")).count() == 0
+
+
+def test_pages_and_windows_of_lines():
+    assert next_offset(0, 100, 250) == 100 and next_offset(200, 100, 250) == 250
+    assert clamp_window(-3, 10, 50) == 0 and clamp_window(45, 10, 50) == 40 and clamp_window(3, 100, 50) == 0 and centred_window(25, 10, 50) == 20
+    assert windows.refresh_wait(100, 130, 50) == 20 and windows.refresh_wait(0, 130, 50) == 0
+    assert windows.due(None, 5, 10) and windows.due(0, 10, 10) and not windows.due(1, 10, 10)
+
+
 def test_entry_points(spark):
     found, oracle = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracle) <= set(found) and len(found) > 80
