@@ -14,8 +14,8 @@ PHASES = {"delete": 0, "rename": 1, "upsert": 2, "clear_error": 3, "error": 4, "
 
 def sequence(batch: Column, op: Column, ordinal: Column) -> Column:
     """A number that orders changes: by batch, by phase within it, by place within that."""
-    phase = F.element_at(F.create_map(*[F.lit(x) for kv in PHASES.items() for x in kv]), op)
-    return batch * 10_000_000_000 + phase * 1_000_000_000 + ordinal
+    phase = F.element_at(F.create_map(*[F.lit(x) for kv in PHASES.items() for x in kv]), op).cast("long")
+    return batch.cast("long") * 10_000_000_000 + phase * 1_000_000_000 + ordinal
 
 
 def accepted_upserts(changes: DataFrame) -> DataFrame:
