@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tomllib
 
 MAX_LINE = 120
 
@@ -39,7 +40,12 @@ def _without_comments(text: str) -> str:
 
 
 def pretty(text: str, extension: str) -> str:
-    """JSON is indented; anything else, and what cannot be parsed, stays as it is."""
+    """JSON is indented and TOML written out anew; anything else, and what cannot be parsed, stays as it is."""
+    if extension == "toml":
+        try:
+            return _toml(tomllib.loads(text)).strip("\n")
+        except tomllib.TOMLDecodeError:
+            return text
     if extension not in ("json", "jsonc"):
         return text
     try:
@@ -48,6 +54,38 @@ def pretty(text: str, extension: str) -> str:
         return text
 
 
+def _toml_value(value) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, list):
+        if len(value) < 2:
+            return "[" + ", ".join(map(_toml_value, value)) + "]"
+        return "[\n" + "".join(f"    {_toml_value(v)},\n" for v in value) + "]"
+    if isinstance(value, dict):
+        return "{ " + ", ".join(f"{_toml_key(k)} = {_toml_value(v)}" for k, v in value.items()) + " }" if value else "{}"
+    return value.isoformat() if hasattr(value, "isoformat") else str(value)
+
+
+def _toml_key(key: str) -> str:
+    return key if re.fullmatch(r"[A-Za-z0-9_-]+", key) else json.dumps(key, ensure_ascii=False)
+
+
+def _toml(table: dict, path: tuple[str, ...] = ()) -> str:
+    """Plain values first, then tables and arrays of tables, each under its header."""
+    tables = {k: v for k, v in table.items() if isinstance(v, dict)}
+    arrays = {k: v for k, v in table.items() if isinstance(v, list) and v and all(isinstance(x, dict) for x in v)}
+    out = "".join(f"{_toml_key(k)} = {_toml_value(v)}\n" for k, v in table.items() if k not in tables and k not in arrays)
+    name = lambda k: ".".join(map(_toml_key, (*path, k)))
+    for k, v in tables.items():
+        out += f"\n[{name(k)}]\n" + _toml(v, (*path, k))
+    for k, vs in arrays.items():
+        for v in vs:
+            out += f"\n[[{name(k)}]]\n" + _toml(v, (*path, k))
+    return out
+
+
 def normalise(lines: list[tuple[int, str]], extension: str, width: int = MAX_LINE, exempt: tuple[str, ...] = ()) -> list[tuple[int, str]]:
     """Slots below 2 stay; content is pretty-printed, wrapped, stripped at line ends, and numbered anew from 2."""
     head = [x for x in lines if x[0] < 2]

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import io
+import os
 import re
-import struct
+import subprocess
+import tempfile
 import wave
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-from siftlake.functions.text import wrap_words
+from siftlake.functions.text import normalise
+from siftlake.sources import media
 
 MAX_CONTENT_BYTES = 10_240 * 1024
 SNIFF_BYTES = 8192
@@ -275,37 +279,16 @@ def epub(data: bytes) -> Extracted:
         return Extracted(tags, lines)
 
 
-def image(data: bytes) -> Extracted:
-    """Dimensions from the header of PNG, GIF, BMP and JPEG files."""
-    size = None
-    if data.startswith(b"\x89PNG\r\n\x1a\n") and len(data) >= 24:
-        size = struct.unpack(">II", data[16:24])
-    elif data.startswith(b"GIF8") and len(data) >= 10:
-        size = struct.unpack("<HH", data[6:10])
-    elif data.startswith(b"BM") and len(data) >= 26:
-        width, height = struct.unpack("<ii", data[18:26])
-        size = width, abs(height)
-    elif data.startswith(b"\xff\xd8"):
-        at = 2
-        while at + 9 < len(data) and data[at] == 0xFF:
-            kind, length = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
-            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-                size = width, height
-                break
-            at += 2 + length
-    return Extracted([("IMAGE:dimensions", f"{size[0]}x{size[1]}")] if size else [("IMAGE", "no metadata available")])
+def _tagged(reader):
+    """An extractor of a reader of tags; a file without any is told by its MIME type."""
+    return lambda data: Extracted(tags) if (tags := reader(data)) else mime_only(data)
 
 
 def audio(data: bytes) -> Extracted:
-    """Parameters of WAV files; others are told by their MIME type alone."""
+    """Parameters of WAV files."""
     try:
         with wave.open(io.BytesIO(data)) as w:
-            seconds = w.getnframes() / w.getframerate()
-            return Extracted([
-                ("AUDIO:codec", "PCM"), ("AUDIO:sample_rate", str(w.getframerate())), ("AUDIO:channels", str(w.getnchannels())),
-                ("AUDIO:bit_depth", str(8 * w.getsampwidth())), ("AUDIO:duration", f"{int(seconds) // 60}:{int(seconds) % 60:02d}"),
-            ])
+            return Extracted(media._signal("PCM", w.getframerate(), w.getnchannels(), 8 * w.getsampwidth(), w.getnframes() / w.getframerate()))
     except (wave.Error, EOFError, ZeroDivisionError):
         return mime_only(data)
 
@@ -314,25 +297,63 @@ def mime_only(data: bytes) -> Extracted:
     return Extracted([("FILE:mime", sniff_mime(data) or "application/octet-stream")])
 
 
+_image, _mp4, _video, _pe, _dicom = map(_tagged, (media.image, media.mp4, media.matroska_or_avi, media.pe, media.dicom))
 BY_EXTENSION = {
     "md": markdown, "markdown": markdown, "html": html, "htm": html, "xhtml": html, "pdf": pdf, "docx": docx, "xlsx": xlsx, "xlsm": xlsx,
-    "pptx": pptx, "epub": epub, "png": image, "gif": image, "bmp": image, "jpg": image, "jpeg": image, "wav": audio,
+    "pptx": pptx, "epub": epub, "wav": audio, "mp3": _tagged(media.mp3), "flac": _tagged(media.flac), "dcm": _dicom, "dicom": _dicom,
+    **dict.fromkeys(("png", "gif", "bmp", "jpg", "jpeg", "webp", "tif", "tiff"), _image), **dict.fromkeys(("mp4", "m4v", "mov"), _mp4),
+    **dict.fromkeys(("mkv", "webm", "avi"), _video), **dict.fromkeys(("exe", "dll", "sys", "scr", "cpl", "ocx", "drv", "efi"), _pe),
 }
 
 
-def extract(path: str, data: bytes, max_line: int = 0) -> Extracted:
-    """Lines of one file by its extension, else as text, else by its leading bytes.
+def extract(path: str, data: bytes, max_line: int = 0, overrides: Mapping[str, Callable[[bytes], Extracted]] | None = None) -> Extracted:
+    """Lines of one file by a reader given for its extension, else by the extension, else as text, else by its leading bytes.
 
-    A broken file is indexed by its name with an error. max_line wraps content lines (0: as they are).
+    A broken file is indexed by its name with an error. Content is pretty-printed where that is possible; max_line wraps
+    content lines (0: as they are).
     """
     leaf = path.rpartition("::")[2].rpartition("/")[2]
-    reader = BY_EXTENSION.get(leaf.rpartition(".")[2].lower() if "." in leaf else "")
+    extension = leaf.rpartition(".")[2].lower() if "." in leaf else ""
+    reader = (overrides or {}).get(extension) or BY_EXTENSION.get(extension)
     try:
         if reader is None:
-            reader = mime_only if looks_binary(data) or sniff_mime(data) else plain_text
+            reader = _dicom if data[128:132] == b"DICM" else mime_only if looks_binary(data) or sniff_mime(data) else plain_text
         found = reader(data)
     except Exception as broken:  # whatever a damaged file makes a reader raise
         return Extracted(error=f"{type(broken).__name__}: {broken}"[:500])
-    if max_line:
-        found.lines = [w for line in found.lines for w in wrap_words(line, max_line)]
+    lines = normalise(list(enumerate(found.lines, 2)), extension, max_line)
+    found.lines = [line for _, line in lines]
     return found
+
+
+def external(command: list[str], timeout: float = 60.0) -> Callable[[bytes], Extracted]:
+    """A reader that runs a program on each file and takes the lines that it prints.
+
+    In the command, {file} is a temporary file with the content, {dir} a folder of its own; without {file} the content is the
+    program's standard input. Lines of files that the program leaves in {dir} follow. A program that fails or takes
+    too long gives an error.
+    """
+
+    def read(data: bytes) -> Extracted:
+        with tempfile.TemporaryDirectory(prefix="siftlake-") as folder:
+            os.mkdir(os.path.join(folder, "out"))
+            given = os.path.join(folder, "in")
+            with open(given, "wb") as f:
+                f.write(data)
+            places = {"{file}": given, "{dir}": os.path.join(folder, "out"), "{name}": "in"}
+            args = [reduce(lambda a, kv: a.replace(*kv), places.items(), part) for part in command]
+            piped = None if any("{file}" in part for part in command) else data
+            try:
+                done = subprocess.run(args, input=piped, capture_output=True, timeout=timeout, check=False)
+            except (OSError, subprocess.TimeoutExpired) as failed:
+                return Extracted(error=f"{command[0]}: {type(failed).__name__}")
+            if done.returncode:
+                return Extracted(error=f"{command[0]} ended with {done.returncode}: {decode(done.stderr).strip()}"[:500])
+            lines = text_lines(decode(done.stdout))
+            for at, _, names in sorted(os.walk(places["{dir}"])):
+                for name in sorted(names):
+                    with open(os.path.join(at, name), "rb") as f:
+                        lines += text_lines(decode(f.read()))
+            return Extracted(lines=lines)
+
+    return read

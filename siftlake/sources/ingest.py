@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import time
 from collections.abc import Iterator
 
@@ -47,18 +47,6 @@ def scan(spark: SparkSession, root: str, includes: tuple[str, ...] = (), exclude
     return rows
 
 
-def walk(root: str, include_hidden: bool = False, marker: str = ".noindex") -> Iterator[str]:
-    """Relative paths below a local root, without folders that hold the marker file and without hidden ones."""
-    for folder, names, files in os.walk(root):
-        if marker in files:
-            names[:] = []
-            continue
-        names[:] = sorted(n for n in names if include_hidden or not n.startswith("."))
-        for f in sorted(files):
-            if include_hidden or not f.startswith("."):
-                yield os.path.relpath(os.path.join(folder, f), root).replace(os.sep, "/")
-
-
 def extract_lines(files: DataFrame, now: int | None = None, max_line: int = MAX_LINE) -> DataFrame:
     """Lines of files (path, mtime, size, content), archive members included: LINE_ROWS.
 
@@ -125,3 +113,20 @@ def html_titles(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(titles, pa.string()), pa.array(texts, pa.string())], names=[*batch.schema.names, "title", "text"])
 
     return pages.mapInArrow(run, schema)
+
+
+def byte_range(files: DataFrame, start: int, end: int | None = None) -> DataFrame:
+    """files with content cut to the bytes from start to end, both included (to the last without an end), and total: the size."""
+    length = F.lit(1 << 30) if end is None else F.lit(max(0, end - start + 1))
+    return files.withColumn("total", F.octet_length("content")).withColumn("content", F.substring("content", F.lit(start + 1), length))
+
+
+def parse_range(header: str, total: int) -> tuple[int, int] | None:
+    """First and last byte of a Range header (`bytes=a-b`, `bytes=a-`, `bytes=-n`); None if it cannot be met."""
+    m = re.fullmatch(r"bytes=(\d*)-(\d*)", header.strip())
+    if not m or m[0] == "bytes=-" or total == 0:
+        return None
+    if not m[1]:
+        return (max(0, total - int(m[2])), total - 1) if int(m[2]) else None
+    first, last = int(m[1]), min(int(m[2]), total - 1) if m[2] else total - 1
+    return (first, last) if first <= last else None

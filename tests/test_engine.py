@@ -123,8 +123,10 @@ def test_ingest(spark, tmp_path):
         ("a/note.md", 0, "[PATH] a/note.md"), ("a/note.md", 2, "hello"), ("a/note.md", 3, "world"), ("blob", 0, "[PATH] blob"),
     ]
     assert {r.path: r.kind for r in ingest.file_rows(lines, "here").collect()} == {"a/note.md": "text", "blob": "image"}
-    (tmp_path / "a/.noindex").write_text("")
-    assert list(ingest.walk(str(tmp_path))) == ["blob"]
+    part = ingest.byte_range(files.filter("path = 'blob'"), 1, 3).first()
+    assert bytes(part.content) == b"PNG" and part.total == 9
+    assert ingest.parse_range("bytes=2-", 9) == (2, 8) and ingest.parse_range("bytes=-3", 9) == (6, 8) and ingest.parse_range("bytes=0-99", 9) == (0, 8)
+    assert ingest.parse_range("bytes=9-", 9) is None and ingest.parse_range("bytes=-", 9) is None and ingest.parse_range("x", 9) is None
 
 
 def test_landing_stream(spark, tmp_path):
