@@ -11,6 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 #: Folders of sessions that name none, by application.
 _own: dict[str, str] = {}
 #: Applications that have this package's archive.
@@ -37,8 +38,11 @@ def _one_process(spark: SparkSession) -> bool:
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package: from where the driver has it if they run beside it, else from an archive that
-    Spark sends to each executor."""
+    Spark sends to each executor. They get small Arrow batches, unless the application was started with a size of its own:
+    texts take several times their size in a worker."""
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH_BYTES[0]):
+        spark.conf.set(*BATCH_BYTES)
     if _one_process(spark):
         paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
         if PACKAGE_ROOT not in paths:
