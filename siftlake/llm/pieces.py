@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 
 #: The characters that Unicode calls white space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -16,8 +19,8 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 PIECE = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 
 
-#: White space other than blanks and line ends.
-_OTHER_SPACE = re.compile("[" + WHITE_SPACE.replace(" ", "").replace("\n", "") + "]")
+#: White space other than blanks and line ends, that of ASCII first.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{WHITE_SPACE}]", c) and c not in " \n"]
 
 
 def units(text: str) -> list[str] | None:
@@ -29,15 +32,18 @@ def units(text: str) -> list[str] | None:
     """
     if not text or text[0] in " \n" or text[-1] in " \n":
         return None
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _OTHER_SPACE.search(text):
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
         return None
+    for c in _OTHER_SPACE[:4] if text.isascii() else _OTHER_SPACE:
+        if c in text:
+            return None
     return ("\n" + text.replace("\n", " \n")).split(" ")
 
 
 class PieceCache(dict):
     """piece -> value. fill() computes the values of the pieces that a block of texts adds, all in one call."""
 
-    def __init__(self, encode: Callable[[list[str]], list], max_pieces: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list], max_pieces: int = 250_000):
         super().__init__()
         self.encode = encode
         self.max_pieces = max_pieces
@@ -69,3 +75,41 @@ def blocks(lengths: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A batch's texts; null reads as the empty string."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash, emptied when it is full."""
+
+    def __init__(self, most: int = 250_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.most:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+word_hashes = WordHashes()
+#: What a worker process caches between batches. Workers outlive their tasks, so `task` empties it.
+caches: list[dict] = [word_hashes]
+
+
+def task(run: Callable) -> Callable:
+    """A mapInArrow function after which the process' caches are empty and free memory is the system's again."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not with this C library
+                pass
+
+    return wrapped

@@ -1,10 +1,15 @@
 """Repeated passages by a sparse suffix array.
 
-Suffixes (of word sequences) are kept only at content-selected positions: those whose KEY_WORDS words have the least
-hash of some window of them. Two copies of a passage of MIN_WORDS words keep the same suffix inside it. The kept
-suffixes of all documents are sorted by their first KEY_WORDS words and neighbours are compared; where neighbours of
-two documents agree, the match is extended left and right to the windows of MIN_WORDS words around it. Of each window that
-several documents hold, the first document's stays and the others' are marked. Marked windows merge to spans.
+Suffixes (of word sequences) are retained at minimisers only: in every run of MIN_WORDS words the (leftmost) position
+whose KEY_WORDS words have the least hash. A run belongs to the suffix at its minimiser, and two copies of a run belong
+to suffixes that agree around it. What decides about a suffix' runs is its context: at most MIN_WORDS words to the right
+and MIN_WORDS - KEY_WORDS to the left.
+
+The retained suffixes whose key another document has too are sorted by their words. Suffixes with equal contexts
+collapse to that of the first document, which the others repeat whole. What is left of a key's suffixes are neighbours in
+the sorted order: each is compared with up to NEAR after it, and the match is extended left and right word by
+word. Where a key has more different contexts than that, the contexts' runs are grouped. A key of very many documents is
+split over several tasks; what these leave open meets once more by runs. Matches merge to spans.
 """
 
 from __future__ import annotations
@@ -14,71 +19,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.pieces import texts_of
+from siftlake.llm.pieces import task, texts_of, word_hashes
 from siftlake.storage import Workspace, read_table
 
 MIN_WORDS = 50
 KEY_WORDS = 16
+#: Words to the left of a suffix that its runs may hold.
+REACH = MIN_WORDS - KEY_WORDS
+#: A suffix is compared with so many neighbours at most; keys with more contexts are settled by runs.
+NEAR = 15
+#: Documents of one key in one task.
+CELL_DOCS = 4096
 
 _WORD = re.compile(r"\S+")
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_word_hashes = _WordHashes()
 _FACTOR = 0x9E3779B97F4A7C15
-
-
-def _join(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of runs from hashes of their left parts and of their right parts, which are `width` words long."""
-    return left * np.uint64(pow(_FACTOR, width, 1 << 64)) + right
-
-
-class Windows:
-    """Hashes of the runs of words of one text. Words are what white space separates; case counts."""
-
-    def __init__(self, text: str):
-        words = text.split()
-        h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
-        self.n = len(words)
-        self.by_width = {1: h}
-
-    def width(self, width: int) -> np.ndarray:
-        """Hash of the `width` words from each position on that has so many."""
-        if width not in self.by_width:
-            if width > self.n:
-                return np.zeros(0, np.uint64)
-            right = 1 << ((width - 1).bit_length() - 1)
-            left = width - right
-            tail = self.width(right)[left:]
-            self.by_width[width] = _join(self.width(left)[: len(tail)], tail, right)
-        return self.by_width[width]
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of kept suffixes and the hashes of their first KEY_WORDS words."""
-        if self.n < MIN_WORDS:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        keys = self.width(KEY_WORDS)
-        keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        keys ^= keys >> np.uint64(32)
-        span = MIN_WORDS - KEY_WORDS + 1
-        least = _sliding(keys, span, np.minimum)
-        # A key is the least of one of the windows around it if the largest of these windows' minima is the key.
-        padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
-        at = np.flatnonzero(_sliding(padded, span, np.maximum) == keys)
-        return at, keys[at]
+_PLACE_BITS = 28
 
 
 def _sliding(values: np.ndarray, span: int, fold) -> np.ndarray:
@@ -91,128 +51,285 @@ def _sliding(values: np.ndarray, span: int, fold) -> np.ndarray:
     return fold(folded[:-rest], folded[rest:]) if rest else folded
 
 
+class Suffixes:
+    """The retained suffixes of one text: at (positions), keys, left and right (words of the context).
+
+    Words are what white space separates; case counts. A text has 2^28 words at most.
+    """
+
+    def __init__(self, text: str):
+        words = text.split()
+        self.n = n = len(words)
+        self.hashes = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, n)
+        if n < MIN_WORDS:
+            self.at, self.keys = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
+        rolled, width = self.hashes, 1
+        while width < KEY_WORDS:  # KEY_WORDS is a power of two
+            rolled = rolled[:-width] * np.uint64(pow(_FACTOR, width, 1 << 64)) + rolled[width:]
+            width *= 2
+        keys = (rolled ^ (rolled >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+        placed = (keys >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(keys), dtype=np.uint64)
+        holder = (_sliding(placed, REACH + 1, np.minimum) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+        firsts = np.flatnonzero(np.diff(holder, prepend=-1))  # the first run that belongs to each suffix
+        lasts = np.append(firsts[1:], len(holder)) - 1
+        self.at = holder[firsts]
+        self.keys = keys[self.at].astype(np.int64)
+        self.left, self.right = self.at - firsts, lasts + MIN_WORDS - self.at
+
+    def contexts(self, rows: np.ndarray) -> Iterator[tuple[int, bytes, bytes, list[int]]]:
+        """key, words to the right, words to the left (the nearest first), positions: the different contexts of some suffixes.
+
+        A word is 4 bytes of its hash.
+        """
+        codes = (self.hashes >> np.uint64(32)).astype(">u4")
+        forward, backward, n = codes.tobytes(), codes[::-1].tobytes(), self.n
+        found: dict[tuple[int, bytes, bytes], list[int]] = {}
+        for key, at, left, right in zip(*(x[rows].tolist() for x in (self.keys, self.at, self.left, self.right)), strict=True):
+            found.setdefault((key, forward[4 * at : 4 * (at + right)], backward[4 * (n - at) : 4 * (n - at + left)]), []).append(at)
+        for (key, right, left), places in found.items():
+            yield key, right, left, places
+
+
 def _row_key():
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """suffix, doc_id, row_key: the kept suffixes' keys, each once a document."""
+def _key_rows(docs: DataFrame) -> DataFrame:
+    """key, row_key: the retained suffixes' keys, each once a row."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(Windows(t).anchors()[1]) for t in texts_of(batch)]
+            found = [np.unique(Suffixes(t).keys) for t in texts_of(batch)]
             rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            keys = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["suffix", "doc_id", "row_key"]
-            )
+            keys = np.concatenate([np.zeros(0, np.int64), *found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(rows)], names=["key", "row_key"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", _row_key().alias("row_key"), "text")
-    return rows.mapInArrow(run, f"suffix long, doc_id {id_type}, row_key long")
+    return docs.select(_row_key().alias("row_key"), "text").mapInArrow(run, "key long, row_key long")
 
 
-def repeated_suffixes(anchors: DataFrame, work: Workspace) -> DataFrame:
-    """suffix, doc_id, row_key of the suffixes that another document has too.
+def _contexts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, cell, cells, right, left, doc_id, row_key, places: contexts of the suffixes whose key several documents have.
 
-    The suffixes are sorted over the partitions; equal neighbours are found within a partition. Where a run of equal
-    suffixes crosses from one partition to the next, the two rows at the boundary tell; only these keys, two a
-    partition at most, come to the driver.
+    A key's documents are dealt to `cells` cells, CELL_DOCS in each as far as their hashes spread. Rows that repeat
+    both id and text are one document.
     """
-
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row_key").alias("low"), F.max("row_key").alias("high"))
+    shared = counts.filter("low <> high").select("key", F.ceil(F.col("n") / CELL_DOCS).cast("int").alias("cells"))
+    # A set: repeated rows have one row_key.
+    lists = keys.join(shared.hint("merge"), "key").groupBy("row_key").agg(F.collect_set(F.struct("key", "cells")).alias("keys"))
+    rows = docs.select(_row_key().alias("row_key"), "doc_id", "text").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    rows = rows.join(lists.hint("merge"), "row_key")
+
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, names, held = TaskContext.get().partitionId(), ["suffix", "doc_id", "row_key", "part", "edge"], None
-
-        def mark(rows: pa.RecordBatch, edge: int) -> pa.RecordBatch:
-            extra = [pa.array(np.full(len(rows), part), pa.int32()), pa.array(np.full(len(rows), edge), pa.int32())]
-            return pa.RecordBatch.from_arrays([*rows.columns, *extra], names=names)
-
+        names = ["key", "cell", "cells", "right", "left", "doc_id", "row_key", "places"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
-            if not len(batch):
+            columns, owners, places, held = [[] for _ in types], [], [], 0
+
+            def made(columns=columns, owners=owners, places=places, batch=batch):
+                take = pa.array(owners, pa.int64())
+                parts = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                return pa.RecordBatch.from_arrays([*parts, batch.column(1).take(take), batch.column(0).take(take), pa.array(places, pa.list_(pa.int32()))], names=names)
+
+            for i, (text, row_key, wanted) in enumerate(zip(texts_of(batch), batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                suffixes, cells_of = Suffixes(text), {w["key"]: w["cells"] for w in wanted}
+                rows = np.flatnonzero(np.isin(suffixes.keys, np.fromiter(cells_of, np.int64, len(cells_of))))
+                for key, right, left, at in suffixes.contexts(rows):
+                    cells = cells_of[key]
+                    for column, value in zip(columns, (key, row_key % cells, cells, right, left), strict=True):
+                        column.append(value)
+                    owners.append(i)
+                    places.append(at)
+                held += len(rows)
+                if held > 50_000:
+                    yield made()
+                    held = 0
+                    for x in (*columns, owners, places):
+                        x.clear()
+            yield made()
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"key long, cell int, cells int, right binary, left binary, doc_id {id_type}, row_key long, places array<int>"
+    return rows.select("row_key", "doc_id", "text", "keys").mapInArrow(run, schema)
+
+
+class Neighbours:
+    """Contexts of some whole cells in sorted order, as a matrix of words with the suffix at column REACH."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.rows, m = rows, len(rows)
+        key, cell, self.cells = (rows.column(i).to_numpy() for i in range(3))
+        self.words = np.zeros((m, REACH + MIN_WORDS), np.uint32)
+        self.right, self.left = self._fill(rows.column(3), 1), self._fill(rows.column(4), -1)
+        self.key = key
+        new = np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))
+        self.cell = np.cumsum(new) - 1
+        equal = (self.right[1:] == self.right[:-1]) & (self.left[1:] == self.left[:-1]) & (self.words[1:] == self.words[:-1]).all(axis=1)
+        self.first = np.maximum.accumulate(np.where(new | np.append(True, ~equal), np.arange(m), 0))  # of the rows with this context
+
+    def _fill(self, column: pa.Array, step: int) -> np.ndarray:
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+        sizes, flat = np.diff(ends), np.frombuffer(column.buffers()[2] or b"", ">u4")[ends[0] : ends[-1]]
+        row = np.repeat(np.arange(len(column)), sizes)
+        at = np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)
+        self.words[row, REACH + at if step > 0 else REACH - 1 - at] = flat
+        return sizes
+
+    def copies(self) -> tuple[np.ndarray, ...]:
+        """row, its left and right words, row of the first document: contexts that an earlier document has whole."""
+        row = np.flatnonzero(self.first != np.arange(len(self.first)))
+        return row, self.left[row], self.right[row], self.first[row]
+
+    def order(self) -> np.ndarray:
+        """Ranks of the rows' documents by doc_id (null first) and row_key."""
+        table = pa.table({"d": self.rows.column(5), "r": self.rows.column(6)})
+        index = pc.sort_indices(table, sort_keys=[("d", "ascending"), ("r", "ascending")], null_placement="at_start").to_numpy()
+        rank = np.empty(len(index), np.int64)
+        rank[index] = np.arange(len(index))
+        return rank
+
+    def extended(self, rows: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Like copies: of different contexts in one cell, the matches of at least MIN_WORDS words with neighbours."""
+        row_key = self.rows.column(6).to_numpy()
+        for step in range(1, NEAR + 1):
+            a, b = rows[:-step], rows[step:]
+            near = (self.cell[a] == self.cell[b]) & (row_key[a] != row_key[b])
+            a, b = a[near], b[near]
+            if not len(a):
                 continue
-            if held is None:
-                yield mark(batch.slice(0, 1), 1)
+            equal = self.words[a] == self.words[b]
+            right = np.minimum(_leading(equal[:, REACH:]), np.minimum(self.right[a], self.right[b]))
+            left = np.minimum(_leading(equal[:, REACH - 1 :: -1]), np.minimum(self.left[a], self.left[b]))
+            long = left + right >= MIN_WORDS
+            a, b, left, right = a[long], b[long], left[long], right[long]
+            later = np.where(rank[a] < rank[b], b, a)
+            yield later, left, right, np.where(later == a, b, a)
+
+    def runs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows' contexts: row, words to the left of the suffix, hash of every run."""
+        powers = np.array([pow(_FACTOR, MIN_WORDS - k, 1 << 64) for k in range(MIN_WORDS)], np.uint64)
+        found = []
+        for left in range(REACH + 1):
+            own = rows[(self.left[rows] >= left) & (MIN_WORDS - left <= self.right[rows])]
+            for at in range(0, len(own), 20_000):
+                part = own[at : at + 20_000]
+                hashes = (self.words[part, REACH - left : REACH - left + MIN_WORDS] * powers).sum(axis=1, dtype=np.uint64)
+                found.append((part, np.full(len(part), left), hashes.astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+    def grouped(self, rows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Like copies, for one run of a context at a time: runs that an earlier document of the cell has."""
+        row, left, run = self.runs(rows)
+        order = np.lexsort((rank[row], run, self.cell[row]))
+        row, left, run = row[order], left[order], run[order]
+        new = np.append(True, (run[1:] != run[:-1]) | (self.cell[row[1:]] != self.cell[row[:-1]]))[: len(row)]
+        first = row[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
+        row_key = self.rows.column(6).to_numpy()
+        later = row_key[row] != row_key[first]
+        return row[later], left[later], MIN_WORDS - left[later], first[later]
+
+
+def _leading(equal: np.ndarray) -> np.ndarray:
+    """Number of true values before the first false one in each row."""
+    return np.where(equal.all(axis=1), equal.shape[1], equal.argmin(axis=1))
+
+
+def _matches(contexts: DataFrame) -> DataFrame:
+    """doc_id, row_key, places, left, right, first_doc_id, key, run: matches around suffixes, and open runs.
+
+    A match has a first_doc_id, an earlier document that holds the `left` words before and `right` words after the
+    suffix too. Where key is set the row is an open run instead: its key is split over cells, and this is the first
+    document with its context in its cell.
+    """
+    ordered = contexts.repartition("key", "cell").sortWithinPartitions("key", "cell", "right", "left", "doc_id", "row_key")
+    names = ["doc_id", "row_key", "places", "left", "right", "first_doc_id", "key", "run"]
+
+    def settle(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        array = Neighbours(rows)
+
+        def told(row, left, right, first=None, key=None, run=None) -> pa.RecordBatch:
+            take, none = pa.array(row, pa.int64()), pa.nulls(len(row), pa.int64())
+            firsts = rows.column(5).take(pa.array(first, pa.int64())) if first is not None else pa.nulls(len(row), rows.column(5).type)
+            parts = [rows.column(i).take(take) for i in (5, 6, 7)] + [pa.array(x, pa.int32()) for x in (left, right)]
+            # A match may have an earlier document's null id; run and key tell matches from open runs.
+            return pa.RecordBatch.from_arrays([*parts, firsts, none if key is None else pa.array(key), none if run is None else pa.array(run)], names=names)
+
+        yield told(*array.copies())
+        heads = np.flatnonzero(array.first == np.arange(len(array.first)))
+        split = array.cells[heads] > 1
+        per_cell = np.bincount(array.cell[heads], minlength=array.cell[-1] + 1)[array.cell[heads]]
+        rank = array.order()
+        for found in array.extended(heads[~split & (per_cell > 1) & (per_cell <= NEAR + 1)], rank):
+            yield told(*found)
+        many = heads[~split & (per_cell > NEAR + 1)]
+        if len(many):
+            yield told(*array.grouped(many, rank))
+        if split.any():
+            row, left, run = array.runs(heads[split])
+            yield told(row, left, MIN_WORDS - left, key=array.key[row], run=run)
+
+    @task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in filter(len, batches):
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            keys = rows.column(0).to_numpy()
-            same = keys[1:] == keys[:-1]
-            equal = np.append(same, False) | np.append(False, same)
-            yield mark(rows.filter(pa.array(equal)), 0)
-            held = rows.slice(len(rows) - 1, 1)
+            key, cell = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            # The last cell may go on in the next batch.
+            last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0
+            if whole:
+                yield from settle(rows.slice(0, whole))
+            held = rows.slice(whole)
         if held is not None:
-            yield mark(held, 2)
+            yield from settle(held)
 
-    id_type = anchors.schema["doc_id"].dataType.simpleString()
-    ordered = anchors.repartitionByRange("suffix", "doc_id", "row_key").sortWithinPartitions("suffix", "doc_id", "row_key")
-    schema = f"suffix long, doc_id {id_type}, row_key long, part int, edge int"
-    compared = work.table(ordered.mapInArrow(run, schema), "compared")
-    ends = sorted((r["part"], r["edge"], r["suffix"]) for r in compared.filter("edge > 0").select("part", "edge", "suffix").collect())
-    crossing = {a[2] for a, b in zip(ends, ends[1:], strict=False) if a[1] == 2 and b[1] == 1 and a[2] == b[2]}
-    across = compared.filter(F.col("edge") > 0).filter(F.col("suffix").isin(sorted(crossing)) if crossing else F.lit(False))
-    return compared.filter("edge = 0").union(across).select("suffix", "doc_id", "row_key").distinct()
+    id_type = contexts.schema["doc_id"].dataType.simpleString()
+    return ordered.mapInArrow(run, f"doc_id {id_type}, row_key long, places array<int>, left int, right int, first_doc_id {id_type}, key long, run long")
 
 
-def _extended_windows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """window, doc_id, row_key, at: hashes and places of the windows of MIN_WORDS words around repeated suffixes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filter(len, batches):
-            lists, hashes, places = batch.column(2).to_pylist(), [], []
-            for text, suffixes in zip(texts_of(batch), lists, strict=True):
-                windows = Windows(text)
-                at, keys = windows.anchors()
-                at = at[np.isin(keys.astype(np.int64), np.array(suffixes, dtype=np.int64))]
-                # A window holds the suffix' key if it starts up to MIN_WORDS - KEY_WORDS words before it.
-                steps = np.zeros(windows.n - MIN_WORDS + 2, np.int64)
-                np.add.at(steps, np.minimum(np.maximum(at - (MIN_WORDS - KEY_WORDS), 0), len(steps) - 1), 1)
-                np.add.at(steps, np.minimum(at + 1, len(steps) - 1), -1)
-                starts = np.flatnonzero(np.cumsum(steps)[:-1] > 0)
-                hashes.append(windows.width(MIN_WORDS)[starts].astype(np.int64))
-                places.append(starts.astype(np.int32))
-            rows = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-            flat, at = np.concatenate(hashes), np.concatenate(places)
-            for s in range(0, len(flat), 100_000):
-                take = pa.array(rows[s : s + 100_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[s : s + 100_000]), batch.column(0).take(take), batch.column(1).take(take), pa.array(at[s : s + 100_000])],
-                    names=["window", "doc_id", "row_key", "at"],
-                )
-
-    lists = repeated.groupBy("row_key").agg(F.collect_list("suffix").alias("suffixes"))
-    rows = docs.select("doc_id", _row_key().alias("row_key"), "text").join(lists, "row_key")
-    # Rows that repeat both id and text are one document.
-    rows = rows.select("doc_id", "row_key", "suffixes", "text").dropDuplicates(["row_key"])
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"window long, doc_id {id_type}, row_key long, at int")
+def _closed_runs(matches: DataFrame) -> DataFrame:
+    """Matches from the open runs: those that an earlier document in another cell has too."""
+    runs = matches.filter("key is not null")
+    held = F.struct("doc_id", "row_key")
+    firsts = runs.groupBy("key", "run").agg(F.min(held).alias("first"), F.max(held).alias("last")).filter("first.row_key <> last.row_key")
+    later = runs.drop("first_doc_id").join(firsts.select("key", "run", "first"), ["key", "run"]).filter("row_key <> first.row_key")
+    return later.select("doc_id", "row_key", "places", "left", "right", F.col("first.doc_id").alias("first_doc_id"))
 
 
-def _spans(marked: DataFrame) -> DataFrame:
-    """doc_id, row_key, start_word, n_words, first_doc_id from marked windows."""
+def _spans(matches: DataFrame) -> DataFrame:
+    """doc_id, row_key, start_word, n_words, first_doc_id from matches around suffixes."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, sizes, firsts = [], [], [], []
-            for i, hits in enumerate(batch.column(2).to_pylist()):
-                begin = end = None
-                for hit in hits:  # sorted by place
-                    if end is None or hit["at"] > end:
-                        if end is not None:
-                            sizes.append(end - begin)
-                        begin = hit["at"]
+            for i, found in enumerate(batch.column(2).to_pylist()):
+                hits = [(at - f["left"], at + f["right"], f["first_doc_id"]) for f in found for at in f["places"]]
+                hits.sort(key=lambda h: (h[0], h[2] is not None, h[2]))
+                end = None
+                for start, stop, first in hits:
+                    if end is None or start > end:
                         rows.append(i)
-                        starts.append(begin)
-                        firsts.append(hit["first_doc_id"])
-                    end = hit["at"] + MIN_WORDS
-                if end is not None:
-                    sizes.append(end - begin)
-            take = pa.array(np.array(rows, dtype=np.int64))
+                        starts.append(start)
+                        firsts.append(first)
+                        sizes.append(stop - start)
+                        end = stop
+                    elif stop > end:
+                        sizes[-1] += stop - end
+                        end = stop
+            take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, batch.column(0).type)],
                 names=["doc_id", "row_key", "start_word", "n_words", "first_doc_id"],
             )
 
-    hits = F.sort_array(F.collect_list(F.struct("at", "first_doc_id"))).alias("hits")
-    id_type = marked.schema["doc_id"].dataType.simpleString()
-    grouped = marked.groupBy("doc_id", "row_key").agg(hits)
+    hits = F.collect_list(F.struct("places", "left", "right", "first_doc_id")).alias("hits")
+    id_type = matches.schema["doc_id"].dataType.simpleString()
+    grouped = matches.groupBy("doc_id", "row_key").agg(hits)
     return grouped.mapInArrow(run, f"doc_id {id_type}, row_key long, start_word long, n_words long, first_doc_id {id_type}")
 
 
@@ -220,23 +337,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, start_word, n_words, first_doc_id: the passages to remove.
 
     A word is in a span if a run of MIN_WORDS words around it stands in a document with a smaller doc_id too (null is
-    smallest, ties by a hash of id and text); first_doc_id is such a document, for the span's first window. The first
+    smallest, ties by a hash of id and text); first_doc_id is such a document, for the span's first run. The first
     document of each passage has no span for it. Repetitions within one document do not count, nor do documents of
-    fewer than MIN_WORDS words. row_key tells rows with equal ids apart. Other columns are not read.
+    fewer than MIN_WORDS words; rows that repeat both id and text are one document. row_key tells rows with equal ids
+    apart. Texts of any length count whole; a null text is an empty one; an empty table gives no spans. Other columns
+    are not read.
     """
     work = Workspace(docs.sparkSession, "suffixes")
-    anchors = work.table(_anchor_rows(docs), "anchors")
-    repeated = work.table(repeated_suffixes(anchors, work), "repeated")
-    work.drop("anchors")
-    work.drop("compared")
-    windows = work.table(_extended_windows(docs, repeated), "windows")
-    held = F.min(F.struct("doc_id", "row_key"))
-    firsts = windows.groupBy("window").agg(held.alias("first"), F.max(F.struct("doc_id", "row_key")).alias("last"))
-    firsts = firsts.filter("first.row_key <> last.row_key").select("window", "first")
-    marked = windows.join(firsts, "window").filter("row_key <> first.row_key")
-    marked = marked.select("doc_id", "row_key", "at", F.col("first.doc_id").alias("first_doc_id"))
-    spans = work.table(_spans(marked), "spans")
-    work.drop("windows")
+    keys = work.table(_key_rows(docs), "keys")
+    matches = work.table(_matches(_contexts(docs, keys)), "matches")
+    work.drop("keys")
+    found = matches.filter("key is null").drop("key", "run").unionByName(_closed_runs(matches))
+    spans = work.table(_spans(found), "spans")
+    work.drop("matches")
     return spans
 
 
@@ -262,6 +375,7 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     rows = rows.join(per_row, rows["__sift_row"] == per_row["__sift_key"], "left").drop("__sift_row", "__sift_key")
     text_at, cut_at = docs.columns.index("text"), len(docs.columns)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
