@@ -79,6 +79,35 @@ def has_hidden_component(path: Column) -> Column:
     return F.rlike(path, F.lit(r"(^|/)\.(?!\.?(/|$))"))
 
 
+def display_path(path: Column) -> Column:
+    """A member of an archive with an arrow after the archive."""
+    return F.when(is_composite(path), F.concat(outer_path(path), F.lit(" → "), archive_path(path))).otherwise(path)
+
+
+_LAST_STEP = r"(?s)^(.*)(?:::|[/\\])(.*)$"
+
+
+def display_name(path: Column) -> Column:
+    """What follows the last `::`, slash or backslash."""
+    return F.when(F.rlike(path, F.lit(_LAST_STEP)), F.regexp_extract(path, _LAST_STEP, 2)).otherwise(path)
+
+
+def display_folder(path: Column) -> Column:
+    """What precedes the last `::`, slash or backslash; empty without one."""
+    return F.when(F.rlike(path, F.lit(_LAST_STEP)), F.regexp_extract(path, _LAST_STEP, 1)).otherwise(F.lit(""))
+
+
+def child_prefix(kind: Column, path: Column) -> Column:
+    """The prefix that lists what is inside an entry of a listing."""
+    return F.when(kind == "archive", F.concat(path, F.lit("::"))).otherwise(path)
+
+
+def should_expand(is_file: Column, path: Column, active: str) -> Column:
+    """Whether an entry of a listing holds an active path: a folder below which it lies, or its archive."""
+    inside = (path == active) | F.startswith(F.lit(active), F.concat(path, F.lit("::")))
+    return F.when(is_file, inside).otherwise(F.startswith(F.lit(active), path))
+
+
 # --- kinds ---
 
 # Which extensions belong to which kind. Any other extension is of unknown kind.

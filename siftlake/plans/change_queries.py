@@ -198,11 +198,15 @@ def st1_windows(spark, d):
 
 @_query(
     "j13_rename_pairs",
-    f"with {WATCH_SQL} select user_id, day, max(seq) filter (kind = 'D') as old_seq, max(seq) filter (kind = 'U') as new_seq from watch group by user_id, day "
-    "having count(*) filter (kind = 'D') = 1 and count(*) filter (kind = 'U') = 1",
+    f"with recursive {WATCH_SQL}, {_windows_sql(2 * 86_400)}, c as (select user_id, window_start, path, arg_max(kind, seq) as last, arg_max(kind, seq) filter (kind <> 'U') as before, arg_min(kind, seq) as first "
+    "from (select *, 'f' || (seq % 20)::varchar as path from p) group by all), k as (select *, case when last = 'U' and before = 'C' then 'C' else last end as kind from c) "
+    "select user_id, window_start, max(path) filter (kind = 'D' and first <> 'C') as old_path, max(path) filter (kind = 'U') as new_path from k group by all "
+    "having count(*) filter (kind = 'D' and first <> 'C') = 1 and count(*) filter (kind = 'U') = 1",
 )
 def j13_rename_pairs(spark, d):
-    return windows.rename_pairs(watch_events(spark, d), "user_id", "day")
+    events = watch_events(spark, d).withColumn("path", F.concat(F.lit("f"), (F.col("seq") % 20).cast("string")))
+    dealt = windows.debounce_windows(events, "user_id", seconds=2 * 86_400)
+    return windows.rename_pairs(dealt, "user_id", "window_start")
 
 
 @_query(

@@ -294,6 +294,19 @@ def x4_composite(spark, d):
     )
 
 
+@_query(
+    "b13_display_paths",
+    f"with {MEMBERS_SQL} select file_id, replace(path, '::', ' → ') as shown, 'm_' || file_id::varchar || '.txt' as name, regexp_replace(path, '/[^/]*$', '') as folder, "
+    "split_part(path, '::', 1) || '::' as prefix, starts_with(path, 'arc_3.zip::') as expanded from members",
+)
+def b13_display_paths(spark, d):
+    path = F.col("path")
+    return archive_members(spark, d).select(
+        "file_id", exprs.display_path(path).alias("shown"), exprs.display_name(path).alias("name"), exprs.display_folder(path).alias("folder"),
+        exprs.child_prefix(F.lit("archive"), exprs.outer_path(path)).alias("prefix"), exprs.should_expand(F.lit(True), exprs.outer_path(path), "arc_3.zip::en/m_3.txt").alias("expanded"),
+    )
+
+
 @_query(
     "x16_meta_tags",
     "with p as (select page_id, '[HTML:title] ' || regexp_extract(html, '<title>([^<]*)</title>', 1) || ' [PAGE:url] ' || url as content from pages) "

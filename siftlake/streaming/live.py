@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftlake.functions import exprs
@@ -72,6 +75,40 @@ def numbered(rows: DataFrame, batch_id: int) -> DataFrame:
     return rows.withColumn("seq", sequence(F.lit(batch_id).cast("long"), F.col("op"), turn)).drop("ordinal")
 
 
+def deal_batches(files: DataFrame, most_files: int = 200, most_bytes: int = 8 << 20) -> DataFrame:
+    """files (source, path, lines) with batch: runs of files by path of at most most_files files, and of at most most_bytes
+    of text unless one file alone has more.
+
+    The files are dealt by ranges of their paths; a range is folded in order, so batches do not cross ranges.
+    """
+    sized = files.withColumn("bytes", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x["content"]), F.lit(0))))
+    ordered = sized.repartitionByRange("source", "path").sortWithinPartitions("source", "path")
+    schema = T.StructType([*files.schema.fields, T.StructField("batch", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, size, last = TaskContext.get().partitionId(), 0, 0, 0, None
+        for batch in batches:
+            names = []
+            own, sizes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("source", "bytes"))
+            for source, n in zip(own, sizes, strict=True):
+                if held and (source != last or held >= most_files or size + n > most_bytes):
+                    number, held, size = number + 1, 0, 0
+                held, size, last = held + 1, size + n, source
+                names.append(f"{part}-{number}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string())], names=[*batch.schema.names[:-1], "batch"])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def write_batches(files: DataFrame, landing: str, scan_timestamp: int, most_files: int = 200, most_bytes: int = 8 << 20) -> None:
+    """Write files (source, path, mtime, size, kind, file_hash, is_new, force, lines as in BATCH) as change batches to a
+    landing folder, one JSON object each, which `read_batches` takes up."""
+    fields = ("path", "mtime", "size", "kind", "file_hash", "is_new", "force", "lines")
+    dealt = deal_batches(files.select("source", *fields), most_files, most_bytes)
+    rows = dealt.groupBy("source", "batch").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("files"))
+    rows.select("source", F.lit(scan_timestamp).cast("long").alias("scan_timestamp"), "files").write.mode("append").option("compression", "gzip").json(landing)
+
+
 def append_changes(batches: DataFrame, log: str, quarantine: str, checkpoint: str):
     """Start a query that appends to a log folder: changes and lines, by batch, and undecodable input to a quarantine.
 

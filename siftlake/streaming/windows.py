@@ -59,10 +59,17 @@ def debounce_windows(events: DataFrame, *keys: str, seconds: int = 5, most: int
 
 
 def rename_pairs(events: DataFrame, *group: str) -> DataFrame:
-    """group, old_seq, new_seq of groups that hold exactly one deletion and one update."""
-    count = lambda k: F.sum((F.col("kind") == k).cast("int"))
-    pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("seq")))
-    per = events.groupBy(*group).agg(count("D").alias("d"), count("U").alias("u"), pick("D").alias("old_seq"), pick("U").alias("new_seq"))
+    """group, old_path, new_path: renames among events (group, path, kind, seq), where a group is one folder in one window.
+
+    A group's events are collapsed by path. If exactly one path was deleted and exactly one other changed, the one was
+    renamed to the other; a path that the window created first was never indexed, so its deletion counts for nothing.
+    """
+    first = events.groupBy(*group, "path").agg(F.min_by("kind", "seq").alias("first"))
+    merged = collapse(events, *group, "path").join(first, [*group, "path"])
+    gone, came = (F.col("kind") == "D") & (F.col("first") != "C"), F.col("kind") == "U"
+    count = lambda c: F.sum(c.cast("int"))
+    pick = lambda c: F.max(F.when(c, F.col("path")))
+    per = merged.groupBy(*group).agg(count(gone).alias("d"), count(came).alias("u"), pick(gone).alias("old_path"), pick(came).alias("new_path"))
     return per.filter("d = 1 and u = 1").drop("d", "u")
 
 

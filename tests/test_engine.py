@@ -155,6 +155,29 @@ def test_landing_stream(spark, tmp_path):
     assert [r[0] for r in spark.read.parquet(where[1]).select("_corrupt_record").collect()] == ["{broken"]
 
 
+def test_batches_are_written_and_taken_up(spark, tmp_path):
+    schema = "source string, path string, mtime long, size long, kind string, file_hash string, is_new boolean, force boolean, lines array<struct<archive_path: string, line_number: bigint, content: string>>"
+    rows = [("s", f"p{i:02}", i, 1, "text", None, True, False, [(None, 0, f"[PATH] p{i:02}"), (None, 2, "x" * (900 if i == 4 else 10))]) for i in range(12)]
+    files = spark.createDataFrame(rows, schema).coalesce(1)
+    dealt = [(r.path, r.batch) for r in live.deal_batches(files, most_files=3, most_bytes=300).orderBy("path").collect()]
+    sizes = {}
+    for path, batch in dealt:
+        sizes.setdefault(batch, []).append(path)
+    assert all(len(p) <= 3 for p in sizes.values()) and ["p04"] in sizes.values() and sorted(sum(sizes.values(), [])) == [r[1] for r in rows]
+    where = [str(tmp_path / x) for x in ("in", "log", "bad", "check")]
+    live.write_batches(files, where[0], 7, most_files=5)
+    live.append_changes(live.read_batches(spark, where[0]), *where[1:]).awaitTermination(120)
+    log = spark.read.parquet(f"{where[1]}/changes")
+    assert sorted(r.path for r in log.filter("op = 'upsert'").collect()) == [r[1] for r in rows] and log.filter("op = 'scan'").count() >= 3
+    assert spark.read.parquet(f"{where[1]}/lines").count() == 24 and log.select("seq").distinct().count() == log.count()
+
+
+def test_rename_pairs(spark):
+    rows = [(1, "a", "D"), (2, "b", "U"), (1, "c", "C"), (2, "c", "D")]
+    events = spark.createDataFrame([("one", p, k, n) for n, (_, p, k) in enumerate(rows)] + [("two", "x", "D", 9), ("two", "y", "U", 10), ("two", "z", "U", 11)], "folder string, path string, kind string, seq long")
+    assert [tuple(r) for r in windows.rename_pairs(events, "folder").collect()] == [("one", "a", "b")]
+
+
 def test_rate_limit_stream(spark, tmp_path):
     spark.createDataFrame([("k", i, t) for i, t in enumerate([0, 1, 2, 3, 61])], "key string, seq long, ts long").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, seq long, ts long").parquet(str(tmp_path / "in"))
