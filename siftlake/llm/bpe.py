@@ -3,8 +3,10 @@
 The distinct words of a block of the corpus lie in one flat symbol array. An inverted index maps each mergeable
 pair, by its rank, to the positions where it starts. Merges are applied in rank order, each to all positions of its
 list at once, and only the pairs next to a merged position are looked up again. Words are what
-public_tokenizers.PATTERN matches; their ids are cached per executor process, so the many repetitions of a word
-cost one dictionary look-up each. Nothing is shuffled: each task replays the words of its own rows.
+public_tokenizers.PATTERN matches; a task caches their ids, so the many repetitions of a word cost one dictionary
+look-up each. Nothing is shuffled: each task replays the words of its own rows, block by block. (One vocabulary for
+the whole corpus would have to come back to every occurrence of its words by a shuffle of all of them, or by a
+broadcast without a bound.) Decoding reads a document's ids alone.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from siftlake.llm.pieces import PieceCache, blocks, texts_of
+from siftlake.llm.pieces import PieceCache, blocks, caches, task, texts_of
 from siftlake.storage import read_table, ship_package
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -37,6 +39,9 @@ class MergeReplay:
         self.tokens: list[bytes] = [b""] * size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.flat_tokens = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.token_sizes = np.fromiter(map(len, self.tokens), np.int64, size)
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         keys, merged = [], []
         for token, rank in self.ranks.items():
@@ -154,9 +159,11 @@ class MergeReplay:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def decode(self, ids) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of a stream of ids."""
+        sizes = self.token_sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.flat_tokens[np.repeat(self.token_starts[ids] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes()
 
 
 class Codec:
@@ -167,29 +174,28 @@ class Codec:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.pieces = PieceCache(self._encode_pieces)
 
-    def _encode_pieces(self, pieces: list[str]) -> list[tuple[bytes, str, bytes]]:
-        """For each piece: ids as little-endian 32-bit integers, ids in decimal, the bytes they decode to."""
+    def _encode_pieces(self, pieces: list[str]) -> list[tuple[bytes, str]]:
+        """For each piece: ids as little-endian 32-bit integers, ids in decimal."""
         cut = [[m.encode() for m in self.pattern.findall(p)] for p in pieces]
         words = list({w for ws in cut for w in ws})
         coded = {}
         for w, ids in zip(words, self.replay.encode_words(words), strict=True):
-            plain = ids.tolist()
-            coded[w] = (ids.astype("<u4").tobytes(), " ".join(map(str, plain)), self.replay.decode(plain))
+            coded[w] = (ids.astype("<u4").tobytes(), " ".join(map(str, ids.tolist())))
         out = []
         for ws in cut:
             if len(ws) == 1:
                 out.append(coded[ws[0]])
             else:
-                a, b, c = zip(*[coded[w] for w in ws], strict=True)
-                out.append((b"".join(a), " ".join(b), b"".join(c)))
+                a, b = zip(*[coded[w] for w in ws], strict=True)
+                out.append((b"".join(a), " ".join(b)))
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str, bytes]]:
-        """Per text: ids (little-endian, 32 bits), ids in decimal joined by blanks, decoded bytes."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
+        """Per text: ids, ids in decimal joined by blanks."""
         for a, b in blocks([len(t) for t in texts]):
             for pieces in self.pieces.fill(texts[a:b]):
                 coded = list(map(self.pieces.__getitem__, pieces))
-                yield b"".join([c[0] for c in coded]), " ".join([c[1] for c in coded]), b"".join([c[2] for c in coded])
+                yield np.frombuffer(b"".join([c[0] for c in coded]), "<u4"), " ".join([c[1] for c in coded])
 
 
 _codecs: dict[str, Codec] = {}
@@ -199,6 +205,7 @@ def codec(path: str) -> Codec:
     """One per process and file."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
+        caches.append(_codecs[path].pieces)
     return _codecs[path]
 
 
@@ -209,10 +216,11 @@ def encode_documents(docs: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
     """
     ship_package(docs.sparkSession)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(public_tokenizers.path(rank_file))
         for batch in batches:
-            ids = [np.frombuffer(c[0], "<u4").astype(np.int32) for c in own.encode(texts_of(batch))]
+            ids = [ids.astype(np.int32) for ids, _ in own.encode(texts_of(batch))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"]
             )
@@ -224,10 +232,11 @@ def decode_documents(encoded: DataFrame, rank_file: str = RANK_FILE) -> DataFram
     """doc_id, text from doc_id, ids. Bytes that are no UTF-8 become replacement characters."""
     ship_package(encoded.sparkSession)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = codec(public_tokenizers.path(rank_file)).replay
         for batch in batches:
-            texts = [replay.decode(ids or []).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            texts = [replay.decode(np.array(ids or [], np.int64)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
@@ -236,20 +245,22 @@ def decode_documents(encoded: DataFrame, rank_file: str = RANK_FILE) -> DataFram
 def digest_documents(docs: DataFrame, rank_file: str = RANK_FILE, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of a whole text's ids and of the bytes these decode to.
 
-    with_ids adds the ids (array of int). Null and empty texts have no ids.
+    with_ids adds the ids (array of int). Null and empty texts have no ids; a text of any length is encoded whole.
+    Rows are independent of each other, so nulls and repeats pass through; other columns are not read.
     """
     ship_package(docs.sparkSession)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(public_tokenizers.path(rank_file))
         for batch in batches:
             counts, ids_sha, decoded_sha, streams = [], [], [], []
-            for ids, decimal, decoded in own.encode(texts_of(batch)):
+            for ids, decimal in own.encode(texts_of(batch)):
                 if with_ids:
-                    streams.append(np.frombuffer(ids, "<i4"))
-                counts.append(len(ids) // 4)
+                    streams.append(ids.astype(np.int32))
+                counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(decoded).hexdigest())
+                decoded_sha.append(hashlib.sha256(own.replay.decode(ids)).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             columns += [pa.array(streams, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])

@@ -38,9 +38,12 @@ def statistics() -> dict[str, Column]:
         "digit_share": _count(r"\p{N}") / chars,
         "symbol_share": _count(r"[^\p{L}\p{N}\s.,;:'\"()-]") / chars,
         "exclaimed_share": _count(r"!(?=\s|$)") / words,
-        "symbol_word_share": _count(r"(?<=^|\s)[^\p{L}\p{N}\s]+(?=\s|$)") / words,
-        "symbol_tail_share": _count(r"[^\p{L}\p{N}\s.,!?]{2,}(?=\s|$)") / words,
-        "repeated_word_share": _count(r"(?<=^|\s)(\S+)(?=\s\1(?:\s|$))") / words,
+        "symbol_word_share": _count(r"(?<=^|\s)[^\p{L}\p{N}\s]++(?=\s|$)") / words,
+        # From the start of a run on and without going back, so a long run takes one pass.
+        "symbol_tail_share": _count(r"(?<![^\p{L}\p{N}\s.,!?])[^\p{L}\p{N}\s.,!?]{2,}+(?=\s|$)") / words,
+        "repeated_word_share": _count(r"(?<=^|\s)(\S++)(?=\s\1(?:\s|$))") / words,
+        "sentence_share": _count(r"[.!?](?=\s|$)") / words,
+        "chars_per_line": chars / F.size(lines).cast("double"),
         "letters_per_word": _count(r"\p{L}") / words,
         "distinct_line_share": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
         "log_words": F.log1p(_count(r"\S+")),
@@ -145,18 +148,22 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 11) ->
 
 
 def fit_quality(described: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED) -> RuleEnsemble:
-    """Fit on at most `most` labelled training rows of described (doc_id and statistics)."""
+    """Fit on at most `most` labelled training ids of described (doc_id and statistics); of rows with one id the least counts."""
     names = list(statistics())
-    chosen = with_labels(described, training_labels(labels, label, most)).select("label", *names)
-    # Rows with repeated ids could exceed the bound; the rest of them is left out here.
-    rows = chosen.limit(most).toArrow()
+    chosen = with_labels(described, training_labels(labels, label, most))
+    rows = chosen.groupBy("doc_id", "label").agg(F.min(F.struct(*names)).alias("row")).select("label", "row.*").toArrow()
     x = np.stack([rows.column(n).to_numpy() for n in names], axis=1) if len(rows) else np.zeros((0, len(names)))
     order = np.lexsort(x.T) if len(rows) else []
     return fit_rules(x[order], rows.column("label").to_numpy().astype(np.float64)[order], names)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; the statistics are computed once and written."""
+    """doc_id, held_out, score, predicted of every row; the statistics are computed once and written.
+
+    A null text is an empty one; a null id is held out. Rows are independent of each other, so repeated ids and rows pass
+    through; texts of any length are read whole in one pass a statistic; other columns are not read. Without
+    labelled rows of both classes every score is the labelled rows' rate; an empty table gives an empty one.
+    """
     work = Workspace(docs.sparkSession, "quality")
     described = work.table(with_statistics(docs), "statistics")
     model = fit_quality(described, labels)
