@@ -99,7 +99,13 @@ def render(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
 
 
 def collapse_and_render(conversations: DataFrame) -> DataFrame:
-    """Rendered parts of the maximal conversations: conv_id, n_turns, n_equal, part, turns, rendered."""
+    """Rendered parts of the maximal conversations: conv_id, n_turns, n_equal, part, turns, rendered.
+
+    Nulls in any column count as values of their own (see `rolling_prefixes`, `render`); rows that repeat are turns of
+    their own. Long texts are rendered whole. The turns of one conversation are dealt to blocks by turn number; those within
+    a block, among them all with one number or none, are ordered in one task. Other columns are not read; an
+    empty table gives an empty one.
+    """
     work = Workspace(conversations.sparkSession, "chat")
     prefixes = work.table(rolling_prefixes(conversations), "prefixes")
     kept = work.table(maximal_conversations(prefixes), "kept")

@@ -155,8 +155,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     Rows are in ascending doc_id order; a null doc_id comes first and equal doc_ids are ordered by a hash of their
-    texts. The last row's next one is the first; a table of one row has that row as its own next. Null texts are
-    empty. The texts are shuffled once, by ranges of doc_id; the pairs that straddle two ranges, one per range, are
+    texts. The last row's next one is the first; a table of one row has that row as its own next, an empty table gives an
+    empty one. Null texts are empty, texts of any length are parsed whole, other columns are not read. The texts are shuffled once, by ranges of doc_id; the pairs that straddle two ranges, one per range, are
     made in a second, small step.
     """
     work = Workspace(docs.sparkSession, "fingerprints")

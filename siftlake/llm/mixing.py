@@ -62,8 +62,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT)
     """docs with __sift_size, __sift_source_size, __sift_target and __sift_times: how often the mix takes the document.
 
     Every document of a source is taken floor(target / source size) times, and once more if its hash lies under the
-    source's threshold, at most max_repeat times in all. Null or blank texts have size 0. Rows that are equal in id
-    and text are taken alike. Other columns stay; names that start with "__sift_" are reserved.
+    source's threshold, at most max_repeat times in all. Null or blank texts have size 0, texts of any length are
+    counted whole; null is a source of its own. Rows that are equal in id and text are taken alike. An empty table
+    gives an empty one. Other columns stay; names that start with "__sift_" are reserved.
     """
     work = Workspace(docs.sparkSession, "mixing")
     keyed = docs.withColumn("__sift_size", word_count(F.col("text")))
@@ -92,11 +93,11 @@ def thresholds(work: Workspace, sizes: DataFrame, weights: tuple, max_repeat: in
     limits = limits.withColumn("need", F.col("target") - F.col("repeats") * F.col("source_size"))
     limits = work.table(limits.withColumn("prefix", F.lit(0).cast("long")), "limits0")
     for level in range(LEVELS):
-        limits = work.table(_refine(sizes, limits, level), f"limits{level + 1}")
+        limits = work.table(_refine(work, sizes, limits, level), f"limits{level + 1}")
     return limits.select("source", "source_size", "target", "repeats", F.col("prefix").alias("threshold"))
 
 
-def _refine(sizes: DataFrame, limits: DataFrame, level: int) -> DataFrame:
+def _refine(work: Workspace, sizes: DataFrame, limits: DataFrame, level: int) -> DataFrame:
     """Add LEVEL_BITS bits to each source's prefix: histogram of the bucket that the prefix names, then a window over it."""
     below = LEVEL_BITS * (LEVELS - 1 - level)
     bucket = F.shiftright("mix_hash", below)
@@ -115,7 +116,7 @@ def _refine(sizes: DataFrame, limits: DataFrame, level: int) -> DataFrame:
     hist = join_small(hist, right, hist["source"].eqNullSafe(right["limit_source"])).drop("limit_source")
     passed = hist.filter("upto >= need and need > 0")
     edge = passed.groupBy("source").agg(F.min(F.struct("bucket", "upto", "tokens")).alias("edge"))
-    edge = edge.select(F.col("source").alias("edge_source"), "edge")
+    edge = work.table(edge.select(F.col("source").alias("edge_source"), "edge"), f"edge{level}")  # one row per source
     joined = join_small(limits, edge, limits["source"].eqNullSafe(edge["edge_source"]), "left")
     before = F.col("edge.upto") - F.col("edge.tokens")
     if level < LEVELS - 1:

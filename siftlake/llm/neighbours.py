@@ -141,7 +141,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
     vectors, queries: id, vector as from `valid_vectors`. Candidates are all rows with another id than the query's;
     ties go to the smaller id. Of equal vectors only the k + 1 smallest ids can be among a query's k nearest, so the
     others are not indexed; this loses nothing and keeps a frequent vector from filling a leaf. Repeated queries
-    are answered once.
+    are answered once; rows of one id with different vectors are candidates each. Where there are fewer than k
+    candidates, all are returned; an empty table gives no rows. `valid_vectors` leaves other columns unread.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "neighbours")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftlake.llm.labelled import MAX_LABELLED, held_out, sigmoid, training_labels, with_labels
-from siftlake.llm.pieces import blocks, texts_of
+from siftlake.llm.pieces import blocks, task, texts_of
 from siftlake.storage import Workspace, read_table, ship_package
 
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 15
@@ -285,6 +285,7 @@ class Scorer:
 def _count_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of label 1 by word bucket and by gram bucket, from document counts over rows (text, label)."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + WORD_BUCKETS + GRAM_BUCKETS), np.int64)
         for batch in batches:
@@ -322,6 +323,7 @@ def highest_windows(rows: DataFrame, net: Network) -> tuple[list[list[str]], np.
     """
     odds = rows.sparkSession.sparkContext.broadcast(np.exp(net.p["words"][:, 0]))
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = odds.value
         for batch in batches:
@@ -364,6 +366,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, work: Workspace, label: str
         train(net, windows, y)
     shared = work.spark.sparkContext.broadcast(net)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
@@ -406,6 +409,7 @@ def score_documents(docs: DataFrame, net: Network, mapping: tuple[float, float],
     shared = spark.sparkContext.broadcast(net)  # of fixed size
     slope, offset = mapping
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
