@@ -6,8 +6,8 @@ agree with the probability of the weighted Jaccard similarity; bands of the sign
 documents are compared with a representative, and those that this leaves in different components meet again where an
 exact prefix filter allows their similarity. Every link is verified by the exact weighted Jaccard similarity.
 
-Document frequencies are counted over all documents in a hashed table of fixed size (a collision can only raise a
-frequency). Texts that are equal are one node; copies never meet pairwise.
+Document frequencies are counted over all documents in a hashed table of fixed size. What other shingles add to a slot
+is estimated by the table's median and taken off. Texts that are equal are one node; copies never meet pairwise.
 """
 
 from __future__ import annotations
@@ -17,20 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import connected_components
-from siftlake.llm.pieces import blocks, texts_of
-from siftlake.storage import Workspace, join_small, read_table
+from siftlake.llm.pieces import blocks, task, texts_of
+from siftlake.llm.pieces import word_hashes as hash_of
+from siftlake.storage import Workspace, read_table
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 16 bands of 5 samples find a pair of similarity 0.8 with probability 0.998, one of 0.9 with 0.999999.
 BANDS, BAND_ROWS = 16, 5
 DF_BITS, DF_BLOCKS = 22, 256
+#: Pairs that agree in fewer samples are not verified. Of similarity 0.8 or more, one in ten million pairs does so.
+LEAST_MATCHES = 44
 #: Relative slack of the bounds in `prefixes` and `open_pairs`, for sums in another order.
 _SLACK = 1e-6
 #: Share of the inverse document frequency in a weight. It is small, so that the size of a group of near copies, which
@@ -42,17 +44,6 @@ _SEED_BITS = 16
 _LEVEL_STEP = 0.05
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_word_hashes = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -62,7 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the lower-cased words between white space."""
     words = text.lower().split()
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(hash_of.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +72,19 @@ def shingles(text: str, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndar
 class Weights:
     """TF-IDF weights from hashed document frequencies."""
 
-    def __init__(self, frequencies: np.ndarray, documents: int):
-        self.frequencies, self.scale = frequencies, 1.0 / np.log(documents + 2.0)
+    def __init__(self, slots: np.ndarray, documents: int):
+        self.slots, self.load = slots, float(np.median(slots))
         self.top = np.log(documents + 2.0)
+        self.scale = 1.0 / self.top
 
     def idf(self, hashes: np.ndarray) -> np.ndarray:
-        """1 + IDF_SHARE * ln((N + 2) / (df + 1)) / ln(N + 2), which lies in [1, 1 + IDF_SHARE)."""
-        return 1.0 + IDF_SHARE * np.maximum(0.0, self.top - np.log(self.df(hashes) + 1.0)) * self.scale
+        """1 + IDF_SHARE * ln((N + 2) / (df + 1)) / ln(N + 2), which lies in [1, 1 + IDF_SHARE]."""
+        df = np.maximum(self.most(hashes) - self.load, 1.0)
+        return 1.0 + IDF_SHARE * np.maximum(0.0, self.top - np.log(df + 1.0)) * self.scale
 
-    def df(self, hashes: np.ndarray) -> np.ndarray:
-        return self.frequencies[(hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+    def most(self, hashes: np.ndarray) -> np.ndarray:
+        """No shingle is in more documents than that."""
+        return self.slots[(hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)]
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         hashes, counts = shingles(text)
@@ -118,23 +112,30 @@ class Sampler:
         self.log_c = np.log(rng.gamma(2.0, 1.0, size))
         self.beta = rng.random(size)
         self.factors = (rng.integers(0, 1 << 63, _SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.log_a = np.zeros((0, size), np.float32)
-        self.t = np.zeros((0, size), np.int32)
-
-    def _grow(self, levels: int) -> None:
-        for level in range(len(self.log_a), levels):
-            log_w = level * _LEVEL_STEP
-            t = np.floor(log_w / self.r + self.beta)
-            log_a = self.log_c - self.r * (t - self.beta) - self.r
-            self.log_a = np.vstack([self.log_a, log_a[None].astype(np.float32)])
-            self.t = np.vstack([self.t, t[None].astype(np.int32)])
-
-    def bands(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """BANDS hashes of BAND_ROWS samples each; none for an empty set."""
+        self.row_of = np.full(1024, -1)
+        self.log_a = np.zeros((8, size), np.float32)
+        self.t = np.zeros((8, size), np.int32)
+        self.n_rows = 0
+
+    def _rows(self, levels: np.ndarray) -> np.ndarray:
+        """Rows of the look-up tables for steps; those that come up first are added."""
+        for level in np.unique(levels).tolist():
+            if self.row_of[level] >= 0:
+                continue
+            if self.n_rows == len(self.t):
+                self.log_a, self.t = (np.vstack([x, np.zeros_like(x)]) for x in (self.log_a, self.t))
+            t = np.floor(level * _LEVEL_STEP / self.r + self.beta)
+            self.log_a[self.n_rows] = self.log_c - self.r * (t - self.beta) - self.r
+            self.t[self.n_rows] = t
+            self.row_of[level] = self.n_rows
+            self.n_rows += 1
+        return self.row_of[levels]
+
+    def bands(self, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """BANDS hashes of BAND_ROWS samples each, and 16 bits of every sample; none for an empty set."""
         if not len(hashes):
-            return np.zeros(0, np.int64)
-        levels = np.rint(np.log(weights) / _LEVEL_STEP).astype(np.int64)
-        self._grow(int(levels.max()) + 1)
+            return np.zeros(0, np.int64), b""
+        levels = self._rows(np.minimum(np.rint(np.log(weights) / _LEVEL_STEP).astype(np.int64), len(self.row_of) - 1))
         flat_a, flat_t = self.log_a.ravel(), self.t.ravel()
         best = np.full(_SAMPLES, np.inf, np.float32)
         chosen = np.zeros(_SAMPLES, np.uint64)
@@ -153,13 +154,14 @@ class Sampler:
         out = np.arange(1, BANDS + 1, dtype=np.uint64)
         for i in range(BAND_ROWS):
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + grouped[:, i])
-        return out.astype(np.int64)
+        return out.astype(np.int64), (chosen >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def text_key():
-    """128 bits of a text as a struct; null and empty texts are the same."""
+    """128 bits of a text as a struct; null and empty texts are the same. Of the type that it has in written tables, or a
+    join with one would move rows that lie right already."""
     text = F.coalesce("text", F.lit(""))
-    return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(0x51F7), text).alias("k2"))
+    return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(0x51F7), text).alias("k2")).cast("struct<k1: bigint, k2: bigint>")
 
 
 def count_documents(docs: DataFrame, work: Workspace) -> Weights:
@@ -167,6 +169,7 @@ def count_documents(docs: DataFrame, work: Workspace) -> Weights:
     tables are summed by blocks of slots, and only the sum, of fixed size, comes to the driver."""
     width = (1 << DF_BITS) // DF_BLOCKS
 
+    @task
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n, pack = np.zeros(1 << DF_BITS, np.int64), 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -201,25 +204,45 @@ def count_documents(docs: DataFrame, work: Workspace) -> Weights:
     for row in work.table(parts, "frequencies").collect():
         table[row["block"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["slots"])), np.int64)
         n += row["docs"]
+    work.drop("frequencies")
     return Weights(table.ravel().astype(np.float32), n)
 
 
 def candidate_bands(docs: DataFrame, work: Workspace, weights) -> DataFrame:
-    """key, bands of every distinct text that has words."""
+    """key, bands, samples of every distinct text that has words."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, tfidf = Sampler(), weights.value
         for batch in batches:
             found = [sampler.bands(*tfidf.of(t)) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "bands"])
+            columns = [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", "bands", "samples"])
 
-    signed = docs.select(text_key().alias("key"), "text").mapInArrow(run, "key struct<k1: bigint, k2: bigint>, bands array<bigint>")
-    return signed.filter("size(bands) > 0").groupBy("key").agg(F.first("bands").alias("bands"))
+    signed = docs.select(text_key().alias("key"), "text").mapInArrow(run, "key struct<k1: bigint, k2: bigint>, bands array<bigint>, samples binary")
+    return signed.filter("size(bands) > 0").groupBy("key").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+
+
+def plausible(pairs: DataFrame, samples: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that agree in LEAST_MATCHES samples (m, samples). It keeps texts of unlike pairs from being moved."""
+
+    @task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.array([np.frombuffer(x, "<u2") for x in batch.column(i).to_pylist()]).reshape(len(batch), -1) for i in (2, 3))
+            likely = pa.array((left == right).sum(axis=1) >= LEAST_MATCHES)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(likely), batch.column(1).filter(likely)], names=["a", "b"])
+
+    both = pairs.hint("merge").join(samples.select(F.col("m").alias("a"), F.col("samples").alias("a_samples")), "a")
+    both = both.hint("merge").join(samples.select(F.col("m").alias("b"), F.col("samples").alias("b_samples")), "b")
+    key = "struct<k1: bigint, k2: bigint>"
+    return both.select("a", "b", "a_samples", "b_samples").mapInArrow(run, f"a {key}, b {key}")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """Those of pairs (a, b) whose texts have a weighted Jaccard similarity of at least SIMILARITY."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tfidf, recent = weights.value, OrderedDict()
         for batch in batches:
@@ -234,8 +257,9 @@ def verify(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
             mask = pa.array(links, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
+    # Sort-merge joins at every size: neither side is bounded.
+    both = pairs.hint("merge").join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
+    both = both.hint("merge").join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
     key = "struct<k1: bigint, k2: bigint>"
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, f"a {key}, b {key}")
 
@@ -249,6 +273,7 @@ def prefixes(members: DataFrame, weights) -> DataFrame:
     shingle of one document is in no other.
     """
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tfidf = weights.value
         for batch in batches:
@@ -257,7 +282,7 @@ def prefixes(members: DataFrame, weights) -> DataFrame:
                 rows, tokens, totals, rests = [], [], [], []
                 for i in range(start, end):
                     hashes, w = tfidf.of(texts[i])
-                    df = tfidf.df(hashes)
+                    df = tfidf.most(hashes)
                     order = np.lexsort((hashes, df))
                     rest = np.cumsum(w[order][::-1])[::-1]
                     kept = (rest >= SIMILARITY * (1 - _SLACK) * rest[0]) & (df[order] > 1)
@@ -276,16 +301,19 @@ def prefixes(members: DataFrame, weights) -> DataFrame:
 def open_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, weights, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """Links that give the components of links (node, root), and pairs (a, b) that can join two of them.
 
-    Members of buckets that hold several components are asked, whatever their heads were; a pair's components differ,
-    it shares a shingle of both prefixes, and its weights after that shingle leave a similarity of SIMILARITY possible.
-    No pair of a bucket with that similarity and different components is missing.
+    members: m, bucket, head. Every member was compared with its bucket's head. Members of buckets whose other
+    members lie in several components are asked; a pair's components differ, it shares a shingle of both prefixes, and
+    its weights after that shingle leave a similarity of SIMILARITY possible. No pair of a bucket with that similarity
+    and different components is missing.
     """
     roots = work.table(connected_components(links, work, "star"), "roots")
-    rooted = members.select("m", "bucket").join(roots.withColumnRenamed("node", "m"), "m", "left").withColumn("root", F.coalesce("root", "m"))
+    others = members.filter("m <> head").select("m", "bucket")
+    rooted = others.join(roots.withColumnRenamed("node", "m"), "m", "left").withColumn("root", F.coalesce("root", "m"))
     rooted = work.table(rooted, "bucket-roots")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
     asked = work.table(rooted.join(mixed, "bucket", "left_semi").select("m", "root").distinct(), "asked")
-    found = work.table(prefixes(asked.join(texts.withColumnRenamed("key", "m"), "m"), weights), "prefixes")
+    found = work.table(prefixes(asked.hint("merge").join(texts.withColumnRenamed("key", "m"), "m"), weights), "prefixes")
+    work.drop("bucket-roots", "asked")
     left, right = (found.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("m", "root", "total", "rest"))) for side in "ab")
     enough = F.least("a_rest", "b_rest") * (1 + SIMILARITY) >= SIMILARITY * (1 - _SLACK) * (F.col("a_total") + F.col("b_total"))
     meet = left.join(right, (left["token"] == right["token"]) & (F.col("a_root") < F.col("b_root")) & enough)
@@ -298,39 +326,51 @@ def similar_texts(docs: DataFrame, work: Workspace) -> DataFrame:
 
     A bucket's members are compared with its head, the member whose buckets are largest together: of a group of copies
     that is one with few changes, to which the others are nearest. Other pairs are compared only where they can join
-    two components of these links (see `open_pairs`).
+    two components of these links (see `open_pairs`). Signatures are compared first, texts where these agree enough.
     """
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(count_documents(docs, work))  # 2^DF_BITS numbers
     signed = work.table(candidate_bands(docs, work, weights), "signed")
-    members = signed.select(F.col("key").alias("m"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = work.table(members.join(shared, "bucket"), "shared")
-    central = members.groupBy("m").agg(F.sum("n").alias("centrality"))
-    members = work.table(members.select("m", "bucket").join(central, "m"), "members")
-    work.drop("signed")
-    wanted = members.select(F.col("m").alias("key")).distinct()
-    keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    held = join_small(keyed, work.table(wanted, "wanted"), "key", "left_semi")
-    texts = work.table(held.groupBy("key").agg(F.first("text").alias("text")), "texts")
-
-    heads = members.groupBy("bucket").agg(F.max(F.struct("centrality", "m")).alias("top")).select("bucket", F.col("top.m").alias("head"))
-    asked = members.join(heads, "bucket").filter("m <> head")
-    tried = work.table(asked.select(F.greatest("m", "head").alias("a"), F.least("m", "head").alias("b")).distinct(), "pairs")
+    dealt = signed.select(F.col("key").alias("m"), F.explode("bands").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = work.table(dealt.join(shared.hint("merge"), "bucket"), "shared")
+    # Sort-merge joins at every size: no side is bounded.
+    central = dealt.groupBy("m").agg(F.sum("n").alias("centrality"))
+    dealt = work.table(dealt.join(central.hint("merge"), "m"), "central")
+    heads = dealt.groupBy("bucket").agg(F.max(F.struct("centrality", "m")).alias("top")).select("bucket", F.col("top.m").alias("head"))
+    members = work.table(dealt.select("m", "bucket", "n").join(heads.hint("merge"), "bucket"), "members")
+    samples = signed.select(F.col("key").alias("m"), "samples").join(central.select("m").hint("merge"), "m", "left_semi")
+    samples = work.table(samples, "samples")
+    work.drop("signed", "shared", "central")
+
+    tried = members.filter("m <> head").select(F.greatest("m", "head").alias("a"), F.least("m", "head").alias("b")).distinct()
+    tried = work.table(plausible(tried, samples), "pairs")
+    # Texts of pairs, and of buckets with members that were not compared with each other.
+    wanted = tried.select(F.col("a").alias("key")).union(tried.select("b")).union(members.filter("n > 2").select("m")).distinct()
+    # Copies go before the shuffle, where a task has several.
+    keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    texts = work.table(keyed.join(wanted.hint("merge"), "key", "left_semi"), "texts")
+
     links = work.table(verify(tried, texts, weights), "found")
     joined, pairs = open_pairs(members, links, texts, weights, work)
-    pairs = work.table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-open")
+    pairs = work.table(plausible(pairs.hint("merge").join(tried, ["a", "b"], "left_anti"), samples), "pairs-open")
+    work.drop("members", "prefixes", "pairs", "samples")
     return joined.union(work.table(verify(pairs, texts, weights), "found-open"))
 
 
-def classes(docs: DataFrame, work: Workspace) -> DataFrame:
+def classes(docs: DataFrame) -> DataFrame:
     """key, least (a struct of the least doc_id and its text's key) of every distinct text: its class' first document."""
-    roots = connected_components(similar_texts(docs, work), work)
-    firsts = work.table(docs.select("doc_id", text_key().alias("key")).groupBy("key").agg(F.min(F.struct("doc_id", "key")).alias("first")), "firsts")
+    work = Workspace(docs.sparkSession, "near-dedup")
+    links = similar_texts(docs, work)
+    work.drop("texts", "found", "pairs-open")
+    roots = connected_components(links, work)
+    firsts = docs.select("doc_id", text_key().alias("key")).groupBy("key").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     rooted = firsts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = work.table(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    return rooted.join(least, "root").select("key", "least")
+    known = work.table(rooted.join(least, "root").select("key", "least"), "classes")
+    work.drop(*(n for n in work.names() if n != "classes"))
+    return known
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -339,10 +379,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class_id is the least doc_id of the row's class: equal texts (null is the empty text), and texts connected by
     links of weighted Jaccard similarity of at least SIMILARITY. kept marks one text of each class; rows that repeat
     both its doc_id and its text are all marked. A null doc_id counts as least. A text without words is like no
-    other text but its copies.
+    other text but its copies. Texts of any length count whole. An empty table gives an empty one; other columns are not read.
     """
-    work = Workspace(docs.sparkSession, "near-dedup")
-    known = work.table(classes(docs, work), "classes")
+    known = classes(docs)
     rows = docs.select("doc_id", text_key().alias("key")).join(known, "key")
     kept = F.struct("doc_id", "key").eqNullSafe(F.col("least"))
     return rows.select("doc_id", F.col("least.doc_id").alias("class_id"), kept.alias("kept"))
@@ -351,14 +390,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each class of near duplicates (see `near_duplicates`).
 
-    Columns stay as they are; names that start with "__sift_" are reserved.
+    Of rows that repeat both doc_id and text the one with the least hash of all columns stays. Columns stay as they
+    are; names that start with "__sift_" are reserved.
     """
-    work = Workspace(docs.sparkSession, "near-dedup")
-    known = work.table(classes(docs, work).filter("key = least.key").select("key", "least.doc_id"), "kept")
-    right = known.select(F.col("key").alias("__sift_kept"), F.col("doc_id").alias("__sift_id"))
-    rows = docs.withColumn("__sift_key", text_key())
-    rows = rows.join(right, (rows["__sift_key"] == right["__sift_kept"]) & rows["doc_id"].eqNullSafe(right["__sift_id"]))
-    return rows.dropDuplicates(["doc_id", "__sift_key"]).select(*docs.columns)
+    # Joined by id and text: the copies of one text lie in as many groups as they have ids.
+    right = classes(docs).filter("key = least.key").select(F.col("least").alias("__sift_kept"))
+    rows = docs.withColumn("__sift_row_key", F.struct("doc_id", text_key().alias("key")))
+    rows = rows.join(right.hint("merge"), rows["__sift_row_key"] == right["__sift_kept"], "left_semi")
+    whole = F.struct(*docs.columns)
+    return rows.groupBy("__sift_row_key").agg(F.min_by(whole, F.xxhash64(whole)).alias("__sift_row")).select("__sift_row.*")
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
