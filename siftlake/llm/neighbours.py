@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from siftlake.storage import Workspace, read_table
 
 K = 10
-#: The sample that the tree is fitted on has at most so many vectors.
-SAMPLE = 16_384
+#: The sample that the tree is fitted on: one vector in SAMPLE_SHARE, but SAMPLE at least (or all) and MOST_SAMPLE at most.
+SAMPLE, SAMPLE_SHARE, MOST_SAMPLE = 16_384, 64, 131_072
 CALIBRATION_QUERIES = 256
 TARGET_RECALL = 0.97
 BRANCHES = 8
@@ -135,7 +135,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, target: float = TARGET_RECALL) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int | None = None, target: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of the visited leaves by Euclidean distance.
 
     vectors, queries: id, vector as from `valid_vectors`. Candidates are all rows with another id than the query's;
@@ -151,12 +151,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
     distinct = work.table(distinct, "distinct")
     queries = work.table(queries.dropDuplicates(["id", "vector"]), "queries")
 
+    if sample is None:
+        sample = min(MOST_SAMPLE, max(SAMPLE, distinct.filter("turn = 1").count() // SAMPLE_SHARE))
     picked = distinct.filter("turn = 1").select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(sample)
     rows = picked.select("vector").toArrow().column(0)
     points = _matrix(rows) if len(rows) else np.zeros((0, 1))
     tree = Tree(points)
     visits = calibrate(tree, points, k, target)
-    shared = spark.sparkContext.broadcast(tree)  # at most 2 * sample centres
+    shared = spark.sparkContext.broadcast(tree)  # at most 2 * MOST_SAMPLE centres
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

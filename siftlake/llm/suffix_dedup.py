@@ -34,7 +34,7 @@ REACH = MIN_WORDS - KEY_WORDS
 #: A suffix is compared with so many neighbours at most; keys with more contexts are settled by runs.
 NEAR = 15
 #: Documents of one key in one task.
-CELL_DOCS = 4096
+CELL_DOCS = 1024
 
 _WORD = re.compile(r"\S+")
 _FACTOR = 0x9E3779B97F4A7C15
