@@ -3,6 +3,9 @@ sources are mixed to their target weights, and the texts are encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. Between stages the rows
 are written as Parquet in the shared folder and read again. Stages but the last return the columns of documents.
+
+Every stage takes nulls in any column (a null text is an empty one), texts of any length, rows that repeat id or text, and
+an empty table, which gives an empty one. Columns of other names pass through the first four stages.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from siftlake.storage import Workspace, read_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score is under 0.5, by a network fitted on labelled rows of docs."""
+    """Rows whose toxicity score is under 0.5, by a network fitted on labelled rows of docs. Empty texts stay."""
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: that of the least doc_id."""
+    """One row of each class of near duplicates: that of the least doc_id (null is least). All empty texts are one class."""
     return drop_near_duplicates(docs)
 
 
@@ -33,12 +36,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often (0 to 3 times) as the mix of sources takes them."""
+    """Rows as often (0 to 3 times) as the mix of sources takes them; null is a source. Reruns agree."""
     return mixed_rows(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every row. Empty texts have no ids."""
     return digest_documents(docs, with_ids=True)
 
 
