@@ -4,12 +4,17 @@ Layout of a store folder, all Parquet:
   chunks/    chunk_id binary, n_ids int, ids binary   one row per distinct chunk; chunk_id is BLAKE2b-128 of its ids as
                                                       little-endian unsigned 32-bit integers; ids are zstd over
                                                       16-bit ones where all fit, else over the 32-bit ones
-  recipes/   doc_id, start long, n_ids long, chunk_ids array<binary>, root binary
-                                                      one row per document, part files and rows in ascending doc_id
-                                                      order; root is the Merkle root of its chunk ids
-  manifest/  part int, first long, docs long, ids long, root binary
-                                                      Merkle root over the roots of a run of documents of a part
-Every document ends with END_ID, which is in no chunk: n_ids leaves it out, start and the manifest's ids count it.
+  recipes/   doc_id, n_ids long, chunk_ids array<binary>, root binary, part int, row long, local_start long
+                                                      one row per document, part files and their rows in ascending
+                                                      doc_id order; part numbers the files from 0, row a file's rows;
+                                                      local_start counts the ids before it in its part; root is the
+                                                      Merkle root of its chunk ids
+  manifest/  level int, part int, run long, docs long, ids long, start long, root binary
+                                                      level 0: RUN_ROWS neighbouring rows of a part, level 1: a part,
+                                                      from the roots of its runs, and the ids before it; level 2: the
+                                                      store, from the roots of its parts
+Every document ends with END_ID, which is in no chunk: n_ids leaves it out, start, local_start and the manifest's ids
+count it. A reader computes the manifest anew from the recipes, so a lost, changed or moved recipe is noticed.
 
 A rolling (gear) hash over the last WINDOW ids cuts an id stream into chunks where its low bits are zero, so equal
 passages give equal chunks wherever they stand.
@@ -30,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from siftlake.llm.pieces import PIECE, texts_of, units
+from siftlake.llm.pieces import PIECE, task, texts_of, units
 from siftlake.storage import Workspace, read_table, ship_package
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 0
 WINDOW = 16
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 64, 9, 4096
+#: Recipes under one root of the manifest's lowest level.
+RUN_ROWS = 4096
 
 
 def _byte_letters() -> dict[int, int]:
@@ -49,48 +56,58 @@ def _byte_letters() -> dict[int, int]:
 class LibraryEncoder(dict):
     """Encodes texts with the tokenizers library. It is a cache of words (see `pieces.units`) to ids.
 
-    A word of letters alone is one word to the tokenizer's pre-tokenizer too, so it goes to the tokenizer's model
-    directly, and one mark after such a word is a word of its own; anything else goes through the pre-tokenizer first.
-    No alignments are made, which nothing here needs. The cache is emptied when it is full, between texts. A text that
-    holds an added token of the tokenizer goes to its encode() whole.
+    A run of letters, with the blank before it, is one word to the tokenizer's pre-tokenizer too, and so is a run of
+    marks after it (no mark starts anything longer before a mark), so both go to the tokenizer's model directly;
+    anything else goes through the pre-tokenizer first. No alignments are made, which nothing here needs. The cache
+    is emptied when it is full, between texts. A text that holds an added token of the tokenizer goes to its encode()
+    whole.
     """
 
-    MARKS = frozenset(".,;:!?")
+    MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.split, self.model, self.letters = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model, _byte_letters()
+        self.split, self.tokenize, self.letters = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize, _byte_letters()
         self.most = most
         self.blank = chr(self.letters[ord(" ")])
         self.line_end = self._encode("\n")
-        self.marks = {m: self._encode(m) for m in self.MARKS}
+        self.marks: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
-        tokenize = self.model.tokenize
-        if text.lstrip(" ").isalpha():
-            if text.isascii():  # ASCII letters stand for themselves
-                letters = self.blank + text[1:] if text[0] == " " else text
-            else:
-                letters = text.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in tokenize(letters)]
-        else:
-            ids = [t.id for word, _ in self.split(text) for t in tokenize(word)]
-        return array("I", ids).tobytes()
+        return array("I", [t.id for word, _ in self.split(text) for t in self.tokenize(word)]).tobytes()
+
+    def _odd(self, word: str) -> bytes:
+        """A word that is not just letters and marks."""
+        if word[:1] != "\n":
+            return self._encode(" " + word)
+        head = word[1:].rstrip(self.MARKS)
+        return self.line_end + (self._encode(head) + self._marks(word[1 + len(head) :]) if head.isalpha() else self._encode(word[1:]))
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = self._encode(marks) if marks else b""
+        return self.marks[marks]
 
     def __missing__(self, word: str) -> bytes:
-        if word.startswith("\n"):
-            found = self.line_end + self._encode(word[1:])
-        elif word[-1:] in self.MARKS and word[:-1].isalpha():
-            found = self[word[:-1]] + self.marks[word[-1]]
-        else:
-            found = self._encode(" " + word)
-        self[word] = found
-        return found
+        head = word if word.isalpha() else word.rstrip(self.MARKS)
+        if not head.isalpha():
+            self[word] = raw = self._odd(word)
+            return raw
+        raw = self.get(head)
+        if raw is None:
+            spelt = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
+            self[head] = raw = array("I", [t.id for t in self.tokenize(self.blank + spelt)]).tobytes()
+        if head is not word:
+            self[word] = raw = raw + self._marks(word[len(head) :])
+        return raw
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        look_up = self.__getitem__
         for text in texts:
             if len(self) > self.most:
                 self.clear()
@@ -101,7 +118,7 @@ class LibraryEncoder(dict):
             if words is None:
                 raw = b"".join(self[p[1:]] if p[0] == " " and p[1:].strip() else self._encode(p) for p in PIECE.findall(text))
             else:
-                raw = b"".join(map(self.__getitem__, words))[len(self.line_end) :]
+                raw = b"".join(map(look_up, words))[len(self.line_end) :]
             yield np.frombuffer(raw, "<u4")
 
 
@@ -109,7 +126,7 @@ _encoders: dict[str, LibraryEncoder] = {}
 
 
 def library_encoder(path: str) -> LibraryEncoder:
-    """One per process and file."""
+    """One per process and file. Its words stay from task to task, as far as it has room."""
     if path not in _encoders:
         import os
 
@@ -120,15 +137,15 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 def _gear(ids: np.ndarray) -> np.ndarray:
     """Rolling hash of the WINDOW ids that end at each position: the sum of mixed ids, each shifted by its age."""
-    mixed = ids.astype(np.uint64) + np.uint64(1)
-    mixed *= np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
+    mixed = ids.astype(np.uint32) + np.uint32(1)
+    mixed *= np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA77)
+    mixed ^= mixed >> np.uint32(13)
     span = 1
     while span < WINDOW:  # doubling: windows of 1, 2, 4, ... ids
         longer = mixed.copy()
-        longer[span:] += mixed[:-span] * np.uint64(pow(0x5851F42D4C957F2D, span, 1 << 64))
+        longer[span:] += mixed[:-span] * np.uint32(pow(0x2C9277B5, span, 1 << 32))
         mixed = longer
         span *= 2
     return mixed
@@ -139,7 +156,7 @@ def cut_stream(ids: np.ndarray) -> list[tuple[int, int]]:
     n = len(ids)
     if n <= MIN_CHUNK:
         return [(0, n)] if n else []
-    candidates = np.flatnonzero(_gear(ids) >> np.uint64(64 - MASK_BITS) == 0) + 1
+    candidates = np.flatnonzero(_gear(ids) < np.uint32(1 << (32 - MASK_BITS))) + 1
     cuts, start, i = [], 0, 0
     candidates = candidates.tolist()
     while n - start > MIN_CHUNK:
@@ -174,32 +191,43 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+    """values cut into lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
 def _stage(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """One row per document: its recipe, and those of its chunks that its task has not seen before."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(public_tokenizers.path(tokenizer_file))
         pack = zstandard.ZstdCompressor(level=3)
         seen: set[bytes] = set()
-        chunk_type = pa.struct([("chunk_id", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
         for batch in batches:
-            lengths, recipes, roots, new = [], [], [], []
+            lengths, recipe, roots, sizes = [], [], [], []
+            new_ids, new_sizes, new_packed, per_doc = [], [], [], []
             for ids in encoder.encode(texts_of(batch)):
-                recipe, added = [], []
+                first, known = len(recipe), len(new_ids)
+                narrow = ids.astype("<u2") if len(ids) and ids.max() < 1 << 16 else None
                 for a, b in cut_stream(ids):
-                    raw = ids[a:b].tobytes()
+                    raw = ids[a:b]
                     chunk_id = hashlib.blake2b(raw, digest_size=16).digest()
                     recipe.append(chunk_id)
                     if chunk_id not in seen:
                         if len(seen) < 1_000_000:  # beyond it chunks may be sent twice; the store keeps one of them
                             seen.add(chunk_id)
-                        added.append({"chunk_id": chunk_id, "n_ids": b - a, "ids": pack_ids(ids[a:b], pack)})
+                        new_ids.append(chunk_id)
+                        new_sizes.append(b - a)
+                        new_packed.append(pack_ids(raw, pack) if narrow is None else pack.compress(narrow[a:b]))
                 lengths.append(len(ids))
-                recipes.append(recipe)
-                roots.append(merkle_root(recipe))
-                new.append(added)
+                sizes.append(len(recipe) - first)
+                per_doc.append(len(new_ids) - known)
+                roots.append(merkle_root(recipe[first:]))
+            new = [pa.array(new_ids, pa.binary()), pa.array(new_sizes, pa.int32()), pa.array(new_packed, pa.binary())]
+            chunks = _lists(pa.StructArray.from_arrays(new, names=["chunk_id", "n_ids", "ids"]), per_doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(new, pa.list_(chunk_type))],
+                [batch.column(0), pa.array(lengths, pa.int64()), _lists(pa.array(recipe, pa.binary()), sizes), pa.array(roots, pa.binary()), chunks],
                 names=["doc_id", "n_ids", "chunk_ids", "root", "new_chunks"],
             )
 
@@ -211,61 +239,86 @@ def _stage(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     )
 
 
-def _number_parts(recipes: DataFrame) -> DataFrame:
-    """Recipes sorted by doc_id over the partitions, with their partition and the ids before them in it."""
+def _number_rows(recipes: DataFrame) -> DataFrame:
+    """Recipes sorted by doc_id over the partitions, with their partition, their place and the ids before them in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = TaskContext.get().partitionId(), 0
+        part, total, seen = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             sizes = batch.column(1).to_numpy(zero_copy_only=False) + 1
             ends = np.cumsum(sizes) + total
             total = int(ends[-1]) if len(ends) else total
-            extra = [pa.array(np.full(len(sizes), part), pa.int32()), pa.array(ends - sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "part", "local_start"])
+            rows = np.arange(seen, seen + len(sizes))
+            seen += len(sizes)
+            extra = [pa.array(np.full(len(sizes), part), pa.int32()), pa.array(rows, pa.int64()), pa.array(ends - sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "part", "row", "local_start"])
 
     ordered = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in recipes.schema)
-    return ordered.mapInArrow(run, f"{fields}, part int, local_start long")
+    return ordered.mapInArrow(run, f"{fields}, part int, row long, local_start long")
 
 
 def write_store(docs: DataFrame, work: Workspace, tokenizer_file: str = TOKENIZER_FILE) -> None:
     """Encode docs (doc_id, text) and write chunks, recipes and manifest into work's folder.
 
-    Null and empty texts are documents of no chunks. Repeated doc_ids keep one recipe each, ordered among
-    themselves by their Merkle root; a null doc_id sorts first. Other columns are not read.
+    Null and empty texts are documents of no chunks; a text of any length is encoded whole. Repeated doc_ids keep one
+    recipe each, ordered among themselves by their Merkle root; a null doc_id sorts first. Other columns are not
+    read. An empty table gives a store of no documents.
     """
     staged = work.table(_stage(docs, tokenizer_file), "staged")
     new = staged.select(F.explode("new_chunks").alias("c")).select("c.*")
     # Rows that share a chunk_id hold the same bytes; each task sends a chunk once, so groups are at most as large
     # as the number of tasks.
     work.table(new.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("ids").alias("ids")), "chunks")
-    parts = work.table(_number_parts(staged.select("doc_id", "n_ids", "chunk_ids", "root")), "numbered")
-    totals = parts.groupBy("part").agg(F.sum(F.col("n_ids") + 1).alias("ids"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition of the sort: bounded by the number of partitions.
-    offsets = totals.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
-    final = parts.join(F.broadcast(offsets), "part")
-    work.table(final.select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_ids", "chunk_ids", "root", "part"), "recipes")
-    work.drop("numbered")
+    work.table(_number_rows(staged.select("doc_id", "n_ids", "chunk_ids", "root")), "recipes")
     work.drop("staged")
-    work.table(_manifest(work.spark.read.parquet(work.path("recipes"))), "manifest")
+    work.table(_manifest(_recipes(work)), "manifest")
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    """Merkle root of every run of rows of a part, and of these per part, without gathering a part's rows."""
+def _recipes(work: Workspace) -> DataFrame:
+    return work.spark.read.parquet(work.path("recipes"))
+
+
+def _fold(rows: DataFrame, keys: list[str], order: str, leaf: str) -> DataFrame:
+    """keys, docs, ids, root: the Merkle root of each group's leaves by `order`. Groups are small: see `_manifest`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = batch.column(0).to_pylist()
-            roots, sizes, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for p in dict.fromkeys(parts):
-                rows = [i for i, q in enumerate(parts) if q == p]
-                yield pa.RecordBatch.from_pylist(
-                    [{"part": p, "first": starts[rows[0]], "docs": len(rows), "ids": sum(sizes[i] + 1 for i in rows), "root": merkle_root([roots[i] for i in rows])}],
-                    schema=pa.schema([("part", pa.int32()), ("first", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("root", pa.binary())]),
-                )
+            leaves = [[x["leaf"] for x in group] for group in batch.column(batch.num_columns - 1).to_pylist()]
+            roots = pa.array([merkle_root(x) for x in leaves], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], roots], names=[*batch.schema.names[:-1], "root"])
+
+    leaves = F.sort_array(F.collect_list(F.struct(order, F.expr(leaf).alias("leaf")))).alias("leaves")
+    grouped = rows.groupBy(*keys).agg(F.sum("docs").alias("docs"), F.sum("ids").alias("ids"), leaves)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grouped.schema.fields[:-1])
+    return grouped.mapInArrow(run, f"{fields}, root binary")
 
-    return recipes.select("part", "root", "n_ids", "start").mapInArrow(run, "part int, first long, docs long, ids long, root binary")
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """The manifest of recipes. A run has RUN_ROWS rows at most, a part has as many runs as its rows by RUN_ROWS, and the
+    store has as many parts as the sort had partitions; no group holds more leaves than that."""
+    rows = recipes.select("part", F.expr(f"row div {RUN_ROWS}").alias("run"), "row", F.lit(1).alias("docs"), (F.col("n_ids") + 1).alias("ids"), "root", "local_start", "n_ids")
+    told = "concat(root, cast(hex(row) as binary), cast('|' as binary), cast(hex(local_start) as binary), cast('|' as binary), cast(hex(n_ids) as binary))"
+    runs = _fold(rows, ["part", "run"], "row", told)
+    parts = _fold(runs, ["part"], "run", "root").withColumn("run", F.lit(None).cast("long"))
+    store = _fold(parts.withColumn("all", F.lit(0)), ["all"], "part", "root").drop("all")
+    store = store.withColumn("part", F.lit(None).cast("int")).withColumn("run", F.lit(None).cast("long"))
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per part
+    nowhere = F.lit(None).cast("long")
+    levels = [runs.withColumn("start", nowhere), parts.withColumn("start", before), store.withColumn("start", F.lit(0).cast("long"))]
+    columns = ["part", "run", "docs", "ids", "start", "root"]
+    named = [rows.select(F.lit(n).alias("level"), *columns) for n, rows in enumerate(levels)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def verify_manifest(work: Workspace) -> None:
+    """Raise ValueError if the recipes are not those that the manifest was made from, at their places."""
+    held = work.spark.read.parquet(work.path("manifest")).withColumn("side", F.lit(1))
+    anew = _manifest(_recipes(work)).withColumn("side", F.lit(-1))
+    odd = held.unionByName(anew).groupBy("level", "part", "run", "docs", "ids", "start", "root").agg(F.sum("side").alias("side"))
+    wrong = odd.filter("side <> 0").orderBy("level", "part", "run").first()
+    if wrong is not None:
+        raise ValueError(f"the recipes do not match the manifest: level {wrong['level']}, part {wrong['part']}, run {wrong['run']}")
 
 
 def read_chunks(work: Workspace) -> DataFrame:
@@ -287,7 +340,10 @@ def read_chunks(work: Workspace) -> DataFrame:
 
 
 def _recipe_items(work: Workspace) -> DataFrame:
-    recipes = work.spark.read.parquet(work.path("recipes"))
+    """Recipes by chunk, each document with its start. The manifest is verified before."""
+    verify_manifest(work)
+    offsets = work.spark.read.parquet(work.path("manifest")).filter("level = 1").select("part", F.col("start").alias("offset"))  # one row per part
+    recipes = _recipes(work).join(F.broadcast(offsets), "part").withColumn("start", F.col("offset") + F.col("local_start"))
     return recipes.select("doc_id", "start", "n_ids", "root", F.posexplode_outer("chunk_ids").alias("ordinal", "chunk_id"))
 
 

@@ -26,7 +26,7 @@ WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 15
 GRAMS = (3, 4, 5)
 WORD_DIM, GRAM_DIM, HIDDEN = 3, 3, 8
 WINDOW, STRIDE = 64, 32
-EPOCHS, BATCH = 6, 64
+EPOCHS, BATCH, CHECKED = 6, 64, 8
 CUT = 0.5
 
 _WORD = re.compile(r"\w+")
@@ -178,11 +178,16 @@ class Network:
 
 def train(net: Network, docs: list[list[str]], labels: np.ndarray, seed: int = 3) -> None:
     """Adam over batches of windows of similar length; a word's own embedding is dropped at times, so that
-    its characters have to carry the decision too."""
+    its characters have to carry the decision too.
+
+    One window in CHECKED is kept apart: the network ends with the parameters of the epoch whose loss on these was least.
+    """
     rng = np.random.default_rng(seed)
     usable = [i for i, d in enumerate(docs) if d]
     if not usable or labels.min() == labels.max():
         return
+    apart = [i for n, i in enumerate(usable) if n % CHECKED == 0]
+    usable = [i for n, i in enumerate(usable) if n % CHECKED] or usable
     usable.sort(key=lambda i: (len(docs[i]), i))
     place = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
     inputs = Inputs(list(place))
@@ -191,7 +196,7 @@ def train(net: Network, docs: list[list[str]], labels: np.ndarray, seed: int = 3
     weight_of = np.where(labels > 0, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
     first = {k: np.zeros_like(v) for k, v in net.p.items() if k not in ("words", "grams")}
     second = {k: np.zeros_like(v) for k, v in first.items()}
-    step = 0
+    step, best = 0, (np.inf, None)
     batches = [usable[i : i + BATCH] for i in range(0, len(usable), BATCH)]
     for _ in range(EPOCHS):
         for b in rng.permutation(len(batches)):
@@ -223,6 +228,13 @@ def train(net: Network, docs: list[list[str]], labels: np.ndarray, seed: int = 3
             top = net.winners(told)
             for k in range(GRAM_DIM):
                 np.subtract.at(net.p["grams"][:, k], top[:, k], 0.5 * d_table[1:, WORD_DIM + k])
+        logits = Scorer(net).logits([" ".join(docs[i]) for i in apart])
+        q = np.clip(sigmoid(logits), 1e-6, 1 - 1e-6)
+        loss = float(-(weight_of[apart] * np.where(labels[apart] > 0, np.log(q), np.log(1 - q))).mean())
+        if loss < best[0]:
+            best = loss, {k: v.copy() for k, v in net.p.items()}
+    if best[1] is not None:
+        net.p = best[1]
 
 
 class Scorer:
