@@ -21,7 +21,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked to the least node around it."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -32,6 +32,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def shortened(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components, after one large-star and one small-star step: groups around a centre are
+    stars at their least node then. Links of a node to itself are ignored."""
+    return _small_star(_large_star(links.select("a", "b").filter("a <> b")))
+
+
 def connected_components(links: DataFrame, work: Workspace, label: str = "links") -> DataFrame:
     """node, root for every node of links (columns a, b of any orderable type): root is the least node of its component.
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.components import connected_components
+from siftlake.llm.components import connected_components, shortened
 from siftlake.llm.pieces import blocks, task, texts_of
 from siftlake.llm.pieces import word_hashes as hash_of
 from siftlake.storage import Workspace, read_table
@@ -299,14 +299,17 @@ def prefixes(members: DataFrame, weights) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, weights, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Links that give the components of links (node, root), and pairs (a, b) that can join two of them.
+    """Links that give the components of links, and pairs (a, b) that can join two of them.
 
-    members: m, bucket, head. Every member was compared with its bucket's head. Members of buckets whose other
-    members lie in several components are asked; a pair's components differ, it shares a shingle of both prefixes, and
+    members: m, bucket, head. Every member was compared with its bucket's head. Links are shortened once, so that most
+    components are stars; a node's root is the least node that it is linked to, itself without one. Roots tell members of
+    one component apart at times, which costs comparisons and loses nothing. Members of buckets whose other
+    members have several roots are asked; a pair's roots differ, it shares a shingle of both prefixes, and
     its weights after that shingle leave a similarity of SIMILARITY possible. No pair of a bucket with that similarity
     and different components is missing.
     """
-    roots = work.table(connected_components(links, work, "star"), "roots")
+    stars = work.table(shortened(links), "stars")
+    roots = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     others = members.filter("m <> head").select("m", "bucket")
     rooted = others.join(roots.withColumnRenamed("node", "m"), "m", "left").withColumn("root", F.coalesce("root", "m"))
     rooted = work.table(rooted, "bucket-roots")
@@ -318,7 +321,7 @@ def open_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, weights,
     enough = F.least("a_rest", "b_rest") * (1 + SIMILARITY) >= SIMILARITY * (1 - _SLACK) * (F.col("a_total") + F.col("b_total"))
     meet = left.join(right, (left["token"] == right["token"]) & (F.col("a_root") < F.col("b_root")) & enough)
     pairs = meet.select(F.greatest("a_m", "b_m").alias("a"), F.least("a_m", "b_m").alias("b")).distinct()
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b"), pairs
+    return stars, pairs
 
 
 def similar_texts(docs: DataFrame, work: Workspace) -> DataFrame:
