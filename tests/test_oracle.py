@@ -24,7 +24,7 @@ def plain(value):
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", ["s1_fuzzy_terms", "s3_regex", "s7_document_lines_top20", "s9_doc_regex", "s12_duplicates", "t1_bm25_top", "j6_context_batch", "b3_expand_tree", "w6_latest_wins", "st2_collapse", "a12_error_rollup", "c1_chunks"])
+@pytest.mark.parametrize("name", ["s1_fuzzy_terms", "s3_regex", "s7_document_lines_top20", "s9_doc_regex", "s12_duplicates", "t1_bm25_top", "j6_context_batch", "b3_expand_tree", "w6_latest_wins", "st2_collapse", "a12_error_rollup", "c1_chunks", "s14_fuzzy", "m2_upsert_lines", "st1_windows", "j13_rename_pairs", "x28_truncate_error", "w1_best_line_per_file", "b5_file_view"])
 def test_query(name, spark, oracle):
     df = catalogue.queries()[name](spark, DATA)
     columns = sorted(df.columns)
