@@ -271,6 +271,16 @@ def image_dimensions(tags: Column) -> Column:
     return F.when((width > 0) & (height > 0), F.struct(width.alias("width"), height.alias("height")))
 
 
+def html_title(html: Column) -> Column:
+    """Text of the first title element without attributes, runs of white space as one blank; empty without one. The references
+    &lt; &gt; &quot; &amp; are read where a semicolon ends them: a title may be cut inside of one. The HTML extractor
+    reads titles as browsers do, `&amp` at the end among them."""
+    title = F.regexp_extract(html, "<title>([^<]*+)</title>", 1)
+    for reference, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        title = F.replace(title, F.lit(reference), F.lit(plain))
+    return F.trim(F.regexp_replace(title, "[\\t\\n\\f\\r ]+", " "))
+
+
 def force_timestamp(text: Column) -> Column:
     """Seconds since 1970 of a number, a date, or a date and time (blank or T between) in the session's time zone; else null."""
     shape = lambda pattern, form: F.when(F.rlike(text, F.lit(pattern)), F.unix_timestamp(F.try_to_timestamp(text, F.lit(form))))

@@ -32,3 +32,16 @@ def test_query(name, spark, oracle):
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert sorted(tuple(plain(v) for v in r) for r in df.select(*columns).collect()) == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
+
+
+def test_titles_of_odd_pages(spark, tmp_path):
+    """References that are cut, stand for references or are not among the four; other tags, several titles, white space of all kinds."""
+    titles = ["R&amp;D &amp", "&amp;lt; &lt;b&gt; &quot;", "&nbsp;&#39;&copy", " a \t\n\f\r b\x0b\u00a0c ", "", "&"]
+    pages = [f"<html><title>{t}</title><title>second</title>" for t in titles]
+    pages += [None, "", "<TITLE>upper</TITLE>", "<title lang=en>x</title>", "<title>open", "<title>a<b></title><title>whole</title>", "<!--<title>comment</title>-->"]
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{path}/*.parquet'")
+    got = catalogue.queries()["e4_html_title"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalogue.oracle_sql()["e4_html_title"]).fetchall())
