@@ -32,17 +32,9 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def shortened(links: DataFrame) -> DataFrame:
-    """Links (a, b) with the same components, after one large-star and one small-star step: groups around a centre are
-    stars at their least node then. Links of a node to itself are ignored."""
-    return _small_star(_large_star(links.select("a", "b").filter("a <> b")))
-
-
-def connected_components(links: DataFrame, work: Workspace, label: str = "links") -> DataFrame:
-    """node, root for every node of links (columns a, b of any orderable type): root is the least node of its component.
-
-    Links of a node to itself are ignored; an empty table gives an empty table.
-    """
+def component_stars(links: DataFrame, work: Workspace, label: str = "links") -> DataFrame:
+    """Links (a, b) with the components of links (columns a, b of any orderable type): b is the least node of its component, a
+    each other node of it, once. Links of a node to itself are ignored; an empty table gives an empty table."""
     links = work.table(links.select("a", "b").filter("a <> b").distinct(), f"{label}-0")
     before, step = _checksum(links), 0
     while before[0]:
@@ -55,5 +47,11 @@ def connected_components(links: DataFrame, work: Workspace, label: str = "links"
         if now == before:
             break
         before = now
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return links
+
+
+def connected_components(links: DataFrame, work: Workspace, label: str = "links") -> DataFrame:
+    """node, root for every node of links: root is the least node of its component (see `component_stars`)."""
+    stars = component_stars(links, work, label)
+    roots = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

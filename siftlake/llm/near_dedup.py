@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.components import connected_components, shortened
+from siftlake.llm.components import component_stars, connected_components
 from siftlake.llm.pieces import blocks, task, texts_of
 from siftlake.llm.pieces import word_hashes as hash_of
 from siftlake.storage import Workspace, read_table
@@ -298,30 +298,40 @@ def prefixes(members: DataFrame, weights) -> DataFrame:
     return members.select("m", "root", "text").mapInArrow(run, f"m {key}, root {key}, token long, total double, rest double")
 
 
-def open_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, weights, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Links that give the components of links, and pairs (a, b) that can join two of them.
+def open_prefixes(members: DataFrame, stars: DataFrame, texts: DataFrame, weights, work: Workspace) -> DataFrame:
+    """`prefixes` of members (m, bucket, head) that can have links to other components.
 
-    members: m, bucket, head. Every member was compared with its bucket's head. Links are shortened once, so that most
-    components are stars; a node's root is the least node that it is linked to, itself without one. Roots tell members of
-    one component apart at times, which costs comparisons and loses nothing. Members of buckets whose other
-    members have several roots are asked; a pair's roots differ, it shares a shingle of both prefixes, and
-    its weights after that shingle leave a similarity of SIMILARITY possible. No pair of a bucket with that similarity
-    and different components is missing.
+    Every member was compared with its bucket's head; stars are the components of these links. A node's root is the least
+    node of its component, itself without links. Members of buckets whose other members have several roots are asked.
     """
-    stars = work.table(shortened(links), "stars")
-    roots = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     others = members.filter("m <> head").select("m", "bucket")
-    rooted = others.join(roots.withColumnRenamed("node", "m"), "m", "left").withColumn("root", F.coalesce("root", "m"))
+    rooted = others.join(stars.select(F.col("a").alias("m"), F.col("b").alias("root")), "m", "left").withColumn("root", F.coalesce("root", "m"))
     rooted = work.table(rooted, "bucket-roots")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
     asked = work.table(rooted.join(mixed, "bucket", "left_semi").select("m", "root").distinct(), "asked")
     found = work.table(prefixes(asked.hint("merge").join(texts.withColumnRenamed("key", "m"), "m"), weights), "prefixes")
     work.drop("bucket-roots", "asked")
-    left, right = (found.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("m", "root", "total", "rest"))) for side in "ab")
+    return found
+
+
+def foremost(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of found (see `prefixes`), for each token and root the row with the largest share of its weight from the token on, and
+    of these the first one of each token. Among near copies that is a text with few shingles of its own, to which the
+    others are nearest."""
+    best = F.max(F.struct((F.col("rest") / F.col("total")).alias("share"), "m", "root", "total", "rest")).alias("best")
+    firsts = found.groupBy("token", "root").agg(best).select("token", "best.*")
+    return firsts, firsts.groupBy("token").agg(best).select("token", "best.*")
+
+
+def open_pairs(found: DataFrame, centres: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of found (see `prefixes`), or of found and centres, that can join two components: their roots differ, they
+    share a shingle of both prefixes, and their weights from that shingle on leave a similarity of SIMILARITY possible."""
+    columns = ("m", "root", "total", "rest")
+    left, right = (df.select("token", *(F.col(c).alias(f"{side}_{c}") for c in columns)) for df, side in ((found, "a"), (centres or found, "b")))
+    apart = F.col("a_root") < F.col("b_root") if centres is None else F.col("a_root") != F.col("b_root")
     enough = F.least("a_rest", "b_rest") * (1 + SIMILARITY) >= SIMILARITY * (1 - _SLACK) * (F.col("a_total") + F.col("b_total"))
-    meet = left.join(right, (left["token"] == right["token"]) & (F.col("a_root") < F.col("b_root")) & enough)
-    pairs = meet.select(F.greatest("a_m", "b_m").alias("a"), F.least("a_m", "b_m").alias("b")).distinct()
-    return stars, pairs
+    meet = left.join(right, (left["token"] == right["token"]) & apart & enough)
+    return meet.select(F.greatest("a_m", "b_m").alias("a"), F.least("a_m", "b_m").alias("b")).distinct()
 
 
 def similar_texts(docs: DataFrame, work: Workspace) -> DataFrame:
@@ -329,7 +339,9 @@ def similar_texts(docs: DataFrame, work: Workspace) -> DataFrame:
 
     A bucket's members are compared with its head, the member whose buckets are largest together: of a group of copies
     that is one with few changes, to which the others are nearest. Other pairs are compared only where they can join
-    two components of these links (see `open_pairs`). Signatures are compared first, texts where these agree enough.
+    two components of the links that are known (see `open_pairs`): at first the foremost members of components
+    with one of them, and once these have joined what they can, every pair that is left. No pair of a bucket with that similarity and different
+    components is missing. Signatures are compared first, texts where these agree enough.
     """
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(count_documents(docs, work))  # 2^DF_BITS numbers
@@ -354,11 +366,16 @@ def similar_texts(docs: DataFrame, work: Workspace) -> DataFrame:
     keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
     texts = work.table(keyed.join(wanted.hint("merge"), "key", "left_semi"), "texts")
 
-    links = work.table(verify(tried, texts, weights), "found")
-    joined, pairs = open_pairs(members, links, texts, weights, work)
-    pairs = work.table(plausible(pairs.hint("merge").join(tried, ["a", "b"], "left_anti"), samples), "pairs-open")
-    work.drop("members", "prefixes", "pairs", "samples")
-    return joined.union(work.table(verify(pairs, texts, weights), "found-open"))
+    # Roots have to be those of whole components: a group of near copies that is told apart anywhere meets itself in all pairs.
+    stars = component_stars(work.table(verify(tried, texts, weights), "found"), work, "stars")
+    found = open_prefixes(members, stars, texts, weights, work)
+    pairs = work.table(plausible(open_pairs(*foremost(found)).hint("merge").join(tried, ["a", "b"], "left_anti"), samples), "pairs-foremost")
+    stars = component_stars(stars.union(verify(pairs, texts, weights)), work, "joined")
+    roots = stars.select(F.col("a").alias("m"), F.col("b").alias("joined"))
+    found = found.hint("merge").join(roots, "m", "left").withColumn("root", F.coalesce("joined", "root"))
+    pairs = work.table(plausible(open_pairs(found).hint("merge").join(tried, ["a", "b"], "left_anti"), samples), "pairs-open")
+    work.drop("members", "prefixes", "pairs", "pairs-foremost", "samples")
+    return stars.union(work.table(verify(pairs, texts, weights), "found-open"))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -298,6 +298,55 @@ def test_near_duplicates_of_many_clusters_in_a_bucket(make_docs, monkeypatch):
     assert Counter((r.doc_id, r.class_id) for r in got) == want
 
 
+def near_group(n):
+    """n near copies: one half has two changes each, each of the other half those of one of them and four more, so that it is
+    similar to that one and hardly to any other."""
+    base, rows = words("hot", 240).split(), []
+    for i in range(n):
+        own, copy = i % (n // 2), list(base)
+        for k in range(2 if i < n // 2 else 6):
+            copy[(7 * own + 37 * k) % 240] = f"own{own}x{k}"
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    return rows
+
+
+def test_a_group_of_near_copies_is_not_compared_in_all_pairs(make_docs, monkeypatch):
+    signed, plausible, compared = near_dedup.candidate_bands, near_dedup.plausible, []
+
+    def one_bucket(docs, work, weights):
+        return signed(docs, work, weights).withColumn("bands", F.array(F.lit(1).cast("long")))
+
+    def counted(pairs, samples):
+        compared.append(pairs.count())
+        return plausible(pairs, samples)
+
+    monkeypatch.setattr(near_dedup, "candidate_bands", one_bucket)
+    monkeypatch.setattr(near_dedup, "plausible", counted)
+    rows = near_group(160)
+    got = near_dedup.near_duplicates(make_docs(rows)).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == brute_classes([(r[0], r[1]) for r in rows])
+    assert sum(compared) <= 6 * len(rows), compared
+
+
+def test_a_component_of_many_links_does_not_meet_itself(make_docs, monkeypatch):
+    """A chain of texts, each similar to the next ones only: one component, whose ends are many links apart."""
+    links, pairs = near_dedup.verify, []
+
+    def chain(found, texts, weights):
+        if not pairs:  # the first links, in place of those with heads of buckets
+            keys = sorted(r.key for r in texts.select("key").collect())
+            found = texts.sparkSession.createDataFrame([(b, a) for a, b in zip(keys, keys[1:])], found.schema)
+            pairs.append(0)
+            return found
+        pairs.append(found.count())
+        return links(found, texts, weights)
+
+    monkeypatch.setattr(near_dedup, "verify", chain)
+    rows = near_group(40)
+    got = near_dedup.near_duplicates(make_docs(rows)).collect()
+    assert {r.class_id for r in got} == {0} and len(pairs) >= 2 and not any(pairs)
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng, sampler = np.random.default_rng(4), near_dedup.Sampler()
     hashes = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
