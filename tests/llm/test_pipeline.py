@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftlake.llm import bpe, mixing
-from tests.llm.test_contracts import LABELS, brute_classes, brute_spans, labelled, near_rows, water_fill
+from siftlake.llm import bpe, mixing, near_dedup
+from tests.llm.test_contracts import LABELS, brute_classes, brute_spans, labelled, near_group, near_rows, water_fill
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +69,19 @@ def test_stages(spark, folder):
     assert all(len(r.ids or []) == r.n_tokens for r in tables["byte_bpe"])
 
 
+def test_near_dedup_compares_few_pairs_of_a_large_group(spark, make_docs, monkeypatch):
+    signed, plausible, compared = near_dedup.candidate_bands, near_dedup.plausible, []
+
+    def counted(pairs, samples):
+        compared.append(pairs.count())
+        return plausible(pairs, samples)
+
+    monkeypatch.setattr(near_dedup, "candidate_bands", lambda *given: signed(*given).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(near_dedup, "plausible", counted)
+    kept = corpus_pipeline.near_dedup(spark, make_docs(near_group(120)), "").collect()
+    assert [r.doc_id for r in kept] == [0] and sum(compared) <= 6 * 120, compared
+
+
 def test_run_on_empty_tables(spark, make_docs, tmp_path):
     make_docs([]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).select("doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
