@@ -23,8 +23,9 @@ PIECE = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{WHITE_SPACE}]", c) and c not in " \n"]
 
 
-def units(text: str) -> list[str] | None:
-    """The text's words, for texts whose only white space is single blanks and single line ends between words.
+def spaced(text: str) -> str | None:
+    """The text with its words one blank apart, for texts whose only white space is single blanks and single line ends
+    between words.
 
     Each word stands for itself with a blank before it, or, if it starts with a line end, for a line end and a word
     without a blank; the first word starts with a line end that the text does not have. Their pieces follow each other as in
@@ -37,7 +38,7 @@ def units(text: str) -> list[str] | None:
     for c in _OTHER_SPACE[:4] if text.isascii() else _OTHER_SPACE:
         if c in text:
             return None
-    return ("\n" + text.replace("\n", " \n")).split(" ")
+    return "\n" + text.replace("\n", " \n")
 
 
 class PieceCache(dict):

@@ -29,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from siftlake.llm.pieces import PIECE, task, texts_of, units
+from siftlake.llm.pieces import PIECE, blocks, spaced, task, texts_of
 from siftlake.storage import Workspace, read_table, ship_package
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -53,80 +54,143 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(others)}
 
 
-class LibraryEncoder(dict):
-    """Encodes texts with the tokenizers library. It is a cache of words (see `pieces.units`) to ids.
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of large strings or large binaries that is no slice."""
+    _, offsets, data = values.buffers()
+    return np.frombuffer(offsets, np.int64, len(values) + 1), np.frombuffer(data or b"", np.uint8)
 
-    A run of letters, with the blank before it, is one word to the tokenizer's pre-tokenizer too, and so is a run of
-    marks after it (no mark starts anything longer before a mark), so both go to the tokenizer's model directly;
-    anything else goes through the pre-tokenizer first. No alignments are made, which nothing here needs. The cache
-    is emptied when it is full, between texts. A text that holds an added token of the tokenizer goes to its encode()
-    whole.
+
+class LibraryEncoder:
+    """Encodes texts with the tokenizers library, a block of them at a time.
+
+    A block's words (see `pieces.spaced`) are numbered, each different one is encoded once, and the texts' ids are
+    gathered by number, all outside Python. A run of letters, with the blank or line end before it, is one word to the
+    tokenizer's pre-tokenizer too, and so is a run of marks after it (no mark starts anything longer before a mark), so
+    marks are set apart first. What is left, a head, is kept with its ids from block to block; of more than `most` heads
+    those of the last block stay. Heads of letters go to the tokenizer's model directly, others to its encode(), GROUP of
+    them at a time. No alignments are made where nothing needs them. A text that holds an added token of the tokenizer
+    goes to its encode() whole.
     """
 
     MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    #: Characters of a block's texts.
+    BLOCK = 8_000_000
+    GROUP = 32
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.split, self.tokenize, self.letters = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize, _byte_letters()
+        self.split, self.tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
         self.most = most
-        self.blank = chr(self.letters[ord(" ")])
+        self.spelling = np.arange(256, dtype="<u4")
+        for byte, letter in _byte_letters().items():
+            self.spelling[byte] = letter
         self.line_end = self._encode("\n")
-        self.marks: dict[str, bytes] = {}
+        blank, vocab = chr(self.spelling[ord(" ")]), tokenizer.get_vocab()
+        #: By id: whether the token can only be the first of a word, with a blank or line end before it.
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        self.starts[[i for token, i in vocab.items() if token.startswith(blank)]] = True
+        self.starts[vocab[chr(self.spelling[ord("\n")])]] = True
+        self.heads, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def _encode(self, text: str) -> bytes:
         return array("I", [t.id for word, _ in self.split(text) for t in self.tokenize(word)]).tobytes()
 
-    def _odd(self, word: str) -> bytes:
-        """A word that is not just letters and marks."""
-        if word[:1] != "\n":
-            return self._encode(" " + word)
-        head = word[1:].rstrip(self.MARKS)
-        return self.line_end + (self._encode(head) + self._marks(word[1 + len(head) :]) if head.isalpha() else self._encode(word[1:]))
-
-    def _marks(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[marks] = self._encode(marks) if marks else b""
-        return self.marks[marks]
-
-    def __missing__(self, word: str) -> bytes:
-        head = word if word.isalpha() else word.rstrip(self.MARKS)
-        if not head.isalpha():
-            self[word] = raw = self._odd(word)
-            return raw
-        raw = self.get(head)
-        if raw is None:
-            spelt = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
-            self[head] = raw = array("I", [t.id for t in self.tokenize(self.blank + spelt)]).tobytes()
-        if head is not word:
-            self[word] = raw = raw + self._marks(word[len(head) :])
-        return raw
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        look_up = self.__getitem__
-        for text in texts:
-            if len(self) > self.most:
-                self.clear()
+    def _model(self, spelt: str) -> list[int]:
+        return [t.id for t in self.tokenize(spelt)]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _grouped(self, heads: pa.Array, letters: bool) -> pa.Array:
+        """The ids of heads, each after a blank if it has no line end. Where as many tokens start with a blank or are a line
+        end as there are heads, no token reaches from one head into the next, so each was merged as it would be alone."""
+        told = pc.if_else(pc.starts_with(heads, "\n"), heads, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), heads, pa.scalar("", pa.large_string())))
+        offsets, data = _flat(told)
+        if letters:  # as the model wants them, a character a byte
+            text, bounds, run = self.spelling[data].tobytes().decode("utf-32-le"), offsets, self._model
+        else:
+            text, run = data.tobytes().decode(), self._whole
+            bounds = np.concatenate([[0], np.cumsum(pc.utf8_length(told).to_numpy())])
+        bounds, ids = bounds.tolist(), array("I")
+        for i in range(0, len(heads), self.GROUP):
+            ids.extend(run(text[bounds[i] : bounds[min(i + self.GROUP, len(heads))]]))
+        at = np.flatnonzero(self.starts[np.frombuffer(ids, np.uint32)])
+        if len(at) != len(heads):
+            return pa.array([self._encode(t) for t in told.to_pylist()], pa.large_binary())
+        at = np.append(at, len(ids)).astype(np.int64) * 4
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(at), pa.py_buffer(ids.tobytes())])
+
+    def _new_ids(self, heads: pa.Array) -> pa.Array:
+        """The ids of heads. One with a tab before it stands for what follows, without a blank."""
+        odd = pc.starts_with(heads, "\t")
+        letters = pc.utf8_is_alpha(pc.ascii_ltrim(heads, characters="\n"))
+        kind = pc.if_else(odd, 2, pc.if_else(letters, 0, 1)).to_numpy()
+        parts = [heads.filter(pa.array(kind == k)) for k in range(3)]
+        lone = pa.array([self._encode(h[1:]) for h in parts[2].to_pylist()], pa.large_binary())
+        found = pa.concat_arrays([self._grouped(parts[0], True), self._grouped(parts[1], False), lone])
+        return found.take(pa.array(np.argsort(np.argsort(kind, kind="stable"))))
+
+    def _word_ids(self, words: pa.Array) -> pa.Array:
+        """The ids of each of the different words of a block."""
+        cut = pc.ascii_rtrim(words, characters=self.MARKS)
+        letters = pc.utf8_is_alpha(pc.ascii_ltrim(cut, characters="\n"))
+        heads = pc.if_else(letters, cut, words)
+        (offsets, data), sizes = _flat(words), pc.binary_length(heads).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(np.diff(offsets) - sizes)])  # of the marks after each head
+        at = np.repeat(offsets[:-1] + sizes - ends[:-1], np.diff(ends)) + np.arange(ends[-1])
+        marks = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[at].tobytes())).dictionary_encode()
+        told = pa.array([self._encode(m) if m else b"" for m in marks.dictionary.to_pylist()], pa.large_binary())
+
+        numbered = pa.concat_arrays([self.heads, heads]).dictionary_encode()  # those known are different, so they come first
+        numbers = numbered.indices.slice(len(self.heads))
+        self.ids = pa.concat_arrays([self.ids, self._new_ids(pa.concat_arrays([numbered.dictionary.slice(len(self.heads))]))])
+        self.heads = numbered.dictionary
+        found = pc.binary_join_element_wise(self.ids.take(numbers), told.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        if len(self.heads) > self.most:
+            stay = pa.array(np.unique(numbers.to_numpy())[: self.most])
+            self.heads, self.ids = self.heads.take(stay), self.ids.take(stay)
+        return found
+
+    def _block(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        plain, plain_at, odd, odd_at, odd_sizes = [], [], [], [], []
+        for i, text in enumerate(texts):
             if any(token in text for token in self.added):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-                continue
-            words = units(text)
-            if words is None:
-                raw = b"".join(self[p[1:]] if p[0] == " " and p[1:].strip() else self._encode(p) for p in PIECE.findall(text))
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            elif (line := spaced(text)) is not None:
+                plain.append(line)
+                plain_at.append(i)
             else:
-                raw = b"".join(map(look_up, words))[len(self.line_end) :]
-            yield np.frombuffer(raw, "<u4")
+                cut = [p[1:] if p[0] == " " and p[1:].strip() else "\t" + p for p in PIECE.findall(text)]
+                odd += cut
+                odd_at.append(i)
+                odd_sizes.append(len(cut))
+        lines = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        words = pa.concat_arrays([lines.flatten(), pa.array(odd, pa.large_string())]).dictionary_encode()
+        ends, data = _flat(self._word_ids(words.dictionary).take(words.indices))
+        ids, ends = data[: ends[-1]].view("<u4"), ends // 4
+        sizes = np.concatenate([pc.list_value_length(lines).to_numpy(), np.array(odd_sizes, np.int64)])
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].tolist()
+        skip = len(self.line_end) // 4
+        for k, i in enumerate(plain_at):
+            out[i] = ids[bounds[k] + skip : bounds[k + 1]]
+        for k, i in enumerate(odd_at, len(plain_at)):
+            out[i] = ids[bounds[k] : bounds[k + 1]]
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for a, b in blocks([len(t) for t in texts], self.BLOCK):
+            yield from self._block(texts[a:b])
 
 
 _encoders: dict[str, LibraryEncoder] = {}
 
 
 def library_encoder(path: str) -> LibraryEncoder:
-    """One per process and file. Its words stay from task to task, as far as it has room."""
+    """One per process and file. Its heads stay from task to task, as far as it has room."""
     if path not in _encoders:
         import os
 
@@ -151,14 +215,24 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def cut_stream(ids: np.ndarray) -> list[tuple[int, int]]:
+def cut_candidates(streams: list[np.ndarray]) -> Iterator[list[int]]:
+    """Where each stream may be cut, hashed in one go. Windows that begin in the stream before end before MIN_CHUNK ids,
+    where nothing is cut."""
+    ends = np.cumsum([len(ids) for ids in streams])
+    found = np.flatnonzero(_gear(np.concatenate([np.zeros(0, "<u4"), *streams])) < np.uint32(1 << (32 - MASK_BITS))) + 1
+    at = np.searchsorted(found, ends, side="right").tolist()
+    for ids, end, a, b in zip(streams, ends.tolist(), [0, *at], at, strict=False):
+        yield (found[a:b] - (end - len(ids))).tolist()
+
+
+def cut_stream(ids: np.ndarray, candidates: list[int] | None = None) -> list[tuple[int, int]]:
     """Chunk ranges of one document's ids. MIN_CHUNK >= WINDOW, so a cut depends on ids of the chunk alone."""
     n = len(ids)
     if n <= MIN_CHUNK:
         return [(0, n)] if n else []
-    candidates = np.flatnonzero(_gear(ids) < np.uint32(1 << (32 - MASK_BITS))) + 1
+    if candidates is None:
+        (candidates,) = cut_candidates([ids])
     cuts, start, i = [], 0, 0
-    candidates = candidates.tolist()
     while n - start > MIN_CHUNK:
         while i < len(candidates) and candidates[i] < start + MIN_CHUNK:
             i += 1
@@ -207,10 +281,11 @@ def _stage(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         for batch in batches:
             lengths, recipe, roots, sizes = [], [], [], []
             new_ids, new_sizes, new_packed, per_doc = [], [], [], []
-            for ids in encoder.encode(texts_of(batch)):
+            streams = list(encoder.encode(texts_of(batch)))
+            for ids, candidates in zip(streams, cut_candidates(streams), strict=True):
                 first, known = len(recipe), len(new_ids)
                 narrow = ids.astype("<u2") if len(ids) and ids.max() < 1 << 16 else None
-                for a, b in cut_stream(ids):
+                for a, b in cut_stream(ids, candidates):
                     raw = ids[a:b]
                     chunk_id = hashlib.blake2b(raw, digest_size=16).digest()
                     recipe.append(chunk_id)

@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -74,6 +76,44 @@ def test_library_encoder_keeps_its_words_apart():
     assert [g.tolist() for g in encoder.encode(texts * 2)] == [e.ids for e in tokenizer.encode_batch(texts * 2, add_special_tokens=False)]
 
 
+def test_library_encoder_calls_the_library_for_groups_of_new_heads():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tokenizer, calls = token_store.LibraryEncoder(path), Tokenizer.from_file(path), []
+    tokenize = encoder.tokenize
+    encoder.tokenize = lambda word: calls.append(word) or tokenize(word)
+    rng = np.random.default_rng(5)
+    heads = ["".join(rng.choice(list("aeinorstéß漢ж"), 9)) for _ in range(2000)]
+    texts = [" ".join(heads[:900]) + "\n" + ".\n".join(heads[900:]), "".join(f" {h}," for h in heads)[1:], " ".join(f"{h}-{i}" for i, h in enumerate(heads))]
+    for known in (False, True):
+        assert [g.tolist() for g in encoder.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(calls) < 10 if known else len(calls) < 200
+        calls.clear()
+
+
+def test_library_encoder_takes_letters_as_the_tokenizer_does():
+    split = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer.pre_tokenize_str
+    every = pa.array([chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    letters = every.filter(pc.utf8_is_alpha(every)).to_pylist()
+    assert len(letters) > 100_000
+    assert [c for c in letters if [at for _, at in split(f" {c}{c}!")] != [(0, 3), (3, 4)]] == []
+
+
+def test_library_encoder_where_a_token_reaches_over_a_blank():
+    encoder = token_store.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [g.tolist() for g in encoder.encode(["one two\nthree x1 y2"])]
+    encoder = token_store.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.starts[:] = False  # as if tokens held several heads: each is then encoded alone
+    assert [g.tolist() for g in encoder.encode(["one two\nthree x1 y2"])] == want
+
+
+def test_cuts_do_not_depend_on_the_streams_before():
+    rng = np.random.default_rng(2)
+    streams = [rng.integers(0, 50_000, n).astype("<u4") for n in (0, 70, 5000, 3, 0, 64, 65, 12_000, 700)]
+    found = list(token_store.cut_candidates(streams))
+    assert [token_store.cut_stream(s, c) for s, c in zip(streams, found, strict=True)] == [token_store.cut_stream(s) for s in streams]
+    assert list(token_store.cut_candidates([])) == []
+
+
 def many_parts(spark, make_docs):
     """A store whose recipes lie in several files, with repeated ids."""
     rows = [((i * 37) % 400, words(i % 90, i % 60) if i % 7 else None, "en", "s", 1) for i in range(600)]
