@@ -445,24 +445,13 @@ def read_documents(work: Workspace) -> DataFrame:
 _POLY = 0xEDB88320
 
 
-def _crc_times(a: int, b: int) -> int:
-    """Product of two polynomials modulo that of crc32, bits reflected."""
-    product = 0
-    for bit in range(31, -1, -1):
-        if a >> bit & 1:
-            product ^= b
-        b = (b >> 1) ^ (_POLY if b & 1 else 0)
-    return product
-
-
-def crc_shift(n_bytes: int) -> int:
-    """x to the power 8 * n_bytes modulo the polynomial of crc32."""
-    power, square, n = 1 << 31, 1 << 23, n_bytes
-    while n:
-        if n & 1:
-            power = _crc_times(power, square)
-        square = _crc_times(square, square)
-        n >>= 1
+def crc_shifts(n_bytes: np.ndarray) -> np.ndarray:
+    """x to the powers 8 * n_bytes modulo the polynomial of crc32, bits reflected."""
+    power, square, n = np.full(len(n_bytes), 1 << 31, np.uint32), np.array([1 << 23], np.uint32), n_bytes.astype(np.int64)
+    while n.any():
+        power = np.where(n & 1, _crc_products(power, np.broadcast_to(square, power.shape)), power)
+        square = _crc_products(square, square)
+        n = n >> 1
     return power
 
 
@@ -470,11 +459,10 @@ def crc_of_parts(lengths: np.ndarray, crcs: np.ndarray, sizes: np.ndarray, shift
     """crc32 of concatenations from their parts' numbers of ids and crc32 values.
 
     sizes tells how many of the parts belong to each concatenation. All concatenations advance by one part at a
-    time, those with parts left. shifts caches crc_shift by number of ids.
+    time, those with parts left. shifts caches crc_shifts by number of ids.
     """
-    for n in np.unique(lengths).tolist():
-        if n not in shifts:
-            shifts[n] = crc_shift(4 * n)
+    new = [n for n in np.unique(lengths).tolist() if n not in shifts]
+    shifts.update(zip(new, crc_shifts(4 * np.array(new, np.int64)).tolist(), strict=True))
     factors = np.array([shifts[n] for n in lengths.tolist()], dtype=np.uint32)
     crcs, starts = crcs.astype(np.uint32), np.cumsum(sizes) - sizes
     total = np.zeros(len(sizes), np.uint32)
@@ -486,7 +474,7 @@ def crc_of_parts(lengths: np.ndarray, crcs: np.ndarray, sizes: np.ndarray, shift
 
 
 def _crc_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """_crc_times of pairs."""
+    """Products of pairs of polynomials modulo that of crc32, bits reflected."""
     product = np.zeros_like(a)
     for bit in range(31, -1, -1):
         product ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
@@ -506,18 +494,21 @@ def read_digests(work: Workspace) -> DataFrame:
         shifts: dict[int, int] = {}
         end = zlib.crc32(END_ID.to_bytes(4, "little"))
         for batch in filter(len, batches):
-            counts, lengths, crcs, sizes = [], [], [], []
-            for n, root, parts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                parts = [p for p in parts if p["chunk_id"] is not None]
-                own = [p["n"] for p in parts]
-                if sum(own) != n or merkle_root([p["chunk_id"] for p in parts]) != root:
-                    raise ValueError("a recipe does not match its Merkle root")
-                counts.append(n + 1)
-                lengths += [*own, 1]
-                crcs += [*(p["crc32"] for p in parts), end]
-                sizes.append(len(parts) + 1)
-            found = crc_of_parts(np.array(lengths), np.array(crcs), np.array(sizes), shifts).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(found)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            counts, roots, parts = batch.column(2).to_numpy(), batch.column(3).to_pylist(), batch.column(4)
+            items = parts.flatten()
+            held = items.field("chunk_id").is_valid()
+            ends = np.cumsum(pc.list_value_length(parts).to_numpy())
+            ends = np.cumsum(np.concatenate([[0], held.to_numpy(zero_copy_only=False)]))[ends]  # without the row of a document of no chunks
+            items = items.filter(held)
+            chunk_ids, own = items.field("chunk_id").to_pylist(), items.field("n").fill_null(0).to_numpy()  # 0: not in the store
+            starts = np.concatenate([[0], ends[:-1]])
+            ids = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
+            if (ids[ends] - ids[starts] != counts).any() or not own.all():
+                raise ValueError("a recipe does not match its chunks")
+            if [merkle_root(chunk_ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] != roots:
+                raise ValueError("a recipe does not match its Merkle root")
+            found = crc_of_parts(np.insert(own, ends, 1), np.insert(items.field("crc32").to_numpy(), ends, end), ends - starts + 1, shifts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts + 1, pa.int64()), pa.array(found)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     chunks = work.table(read_chunks(work), "read_back").withColumnRenamed("n_ids", "n")
     items = _recipe_items(work).join(chunks, "chunk_id", "left")

@@ -114,6 +114,27 @@ def test_cuts_do_not_depend_on_the_streams_before():
     assert list(token_store.cut_candidates([])) == []
 
 
+def test_crc_of_parts_is_that_of_the_whole():
+    rng = np.random.default_rng(4)
+    docs = [[rng.integers(0, 50_000, n).astype("<u4").tobytes() for n in sizes] for sizes in ([1], [64, 4096, 1], [500, 1], [1, 1, 1, 777, 2], [4095, 4096])]
+    parts = [p for d in docs for p in d]
+    shifts: dict[int, int] = {}
+    for _ in range(2):
+        got = token_store.crc_of_parts(np.array([len(p) // 4 for p in parts]), np.array([zlib.crc32(p) for p in parts]), np.array([len(d) for d in docs]), shifts)
+        assert got.tolist() == [zlib.crc32(b"".join(d)) for d in docs]
+    large = np.array([0, 1, 4, 4 << 20])
+    assert [int(x) ^ zlib.crc32(bytes(n)) for n, x in zip(large, token_store._crc_products(token_store.crc_shifts(large), np.full(4, zlib.crc32(b"ab"), np.uint32)), strict=True)] == [zlib.crc32(b"ab" + bytes(int(n))) for n in large]
+
+
+def test_lost_chunk_is_noticed(make_docs, spark):
+    store = token_store.token_store(make_docs([(1, words("a", 90), "en", "s", 3), (2, None, "en", "s", 0)]))
+    chunks = spark.read.parquet(store.path("chunks")).collect()
+    store.drop("chunks")
+    spark.createDataFrame(chunks[1:], "chunk_id binary, n_ids int, ids binary").write.parquet(store.path("chunks"))
+    with pytest.raises(Exception, match="does not match its chunks"):
+        token_store.read_digests(store).collect()
+
+
 def many_parts(spark, make_docs):
     """A store whose recipes lie in several files, with repeated ids."""
     rows = [((i * 37) % 400, words(i % 90, i % 60) if i % 7 else None, "en", "s", 1) for i in range(600)]
